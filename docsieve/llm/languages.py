@@ -228,7 +228,7 @@ def fit_sentences(docs: list[tuple[str, list[Counter]]], path: str) -> np.ndarra
                 counts[lang].update(c)
         for lang, c in counts.items():
             counts[lang] = Counter({w: n for w, n in c.items() if n > 1 and bool(_HAS_CJK.match(w)) == (lang == "zh")})
-        prob = fit(counts, vocab, rounds=1)
+        prob = fit(counts, vocab, rounds=int(last))
         if last:
             break
         model = Model(prob, path)
@@ -253,7 +253,7 @@ def clean_lines(text: str, furniture: Furniture) -> str:
     """Text without running headers, its broken words joined."""
     if "\n" in text:
         text = "\n".join(line for line in text.split("\n") if not furniture.is_header(line))
-    elif furniture.forms and any(f[:10] in "".join(c for c in text.lower() if c.isalnum()) for f in furniture.forms):
+    elif furniture.forms and sum(w in text for w in furniture.cues) >= 2:
         for a, b in reversed(furniture.inline(text)):
             text = text[:a] + " " + text[b:]
     return _BROKEN.sub("", text)

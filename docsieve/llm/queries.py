@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm.canonical import normalize_text
+from docsieve.llm.languages import fit_model, label_documents, language_cases
 from docsieve.llm.leaks import leak_spans, leaks
+from docsieve.llm.matching import match_records
+from docsieve.llm.name_links import link_names
 from docsieve.llm.packing import bucket_report, containers
 from docsieve.llm.same_look import same_look_pairs
+from docsieve.llm.scan_repair import repair_documents, scan_defects, vocabulary_of
 from docsieve.llm.shared_spans import paragraphs, shared_by_paragraph
+from docsieve.operators.packed import split_packed
 from docsieve.sources.tables import table
 
 
@@ -26,6 +31,60 @@ def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.join(shared, "document_id", "left").na.fill(0, ["shared_chars"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, section_no, paragraph_no, kind, item): every scan defect."""
+    return scan_defects(_parsed_texts(spark, sf_dir))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, section_no, paragraph_no, text): the repaired paragraphs of scanned documents."""
+    parsed = _parsed_texts(spark, sf_dir)
+    return repair_documents(parsed, vocabulary_of(parsed)).select("document_id", "section_no", "paragraph_no", "text").distinct()
+
+
+def _parsed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "parsed_documents", "id", "title", "authors", "abstract", "sections")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reference_id, work_id): references and catalogue records of the same work."""
+    return p4_matches(spark, sf_dir).select("reference_id", "work_id")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reference_id, work_id, rule, confidence): the same with the rule that matched and its precision."""
+    refs = table(spark, sf_dir, "reference_sources", "id", "raw_citation", "title", "authors", "year")
+    return match_records(refs, table(spark, sf_dir, "catalog_works", "work_id", "title", "creators", "pub_year", "pages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, section_no, paragraph_no, lang): missing or wrong labels, and paragraphs with foreign sentences."""
+    return language_cases(_labelled(spark, sf_dir))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, label, lang, confidence): the language of every document."""
+    return _labelled(spark, sf_dir).select("document_id", "label", "lang", F.round("confidence", 6).alias("confidence")).distinct()
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, section_no, paragraph_no, lang, confidence, text): every foreign segment."""
+    seg = _labelled(spark, sf_dir).select("document_id", F.explode("segments").alias("s"))
+    return seg.select("document_id", "s.section_no", "s.paragraph_no", "s.lang", F.round("s.confidence", 6).alias("confidence"), "s.text").distinct()
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "parsed_documents", "id", "title", "language", "sections")
+    return label_documents(parsed, fit_model(parsed))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_a, name_b): pairs of different spellings of one person or organisation."""
+    lists = [table(spark, sf_dir, t, F.explode("authors").alias("name")) for t in ("reference_sources", "parsed_documents")]
+    packed = table(spark, sf_dir, "research_submissions", "id", "authors").distinct()
+    return link_names(lists[0].unionAll(lists[1]).unionAll(split_packed(packed, "id", "authors", value_name="name").select("name")))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(container_id, doc_id, part, token_start, token_end, n_tokens, bucket): documents combined into containers of 2,048 tokens."""
     return containers(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
@@ -56,5 +115,5 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_text(table(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_canonical": p10_canonical}
 SQL: dict[str, str] = {}
