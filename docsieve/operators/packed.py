@@ -121,7 +121,7 @@ def piece_score(piece: str, delims: str = ";；|｜\n\t/／•·、，&＆") ->
         return 1.0
     if any(c in p for c in delims) or _SPLIT["numbered"].search(p):
         return 0.0
-    p = p.replace("", "")
+        p = re.sub(r"[\ue700-\uefff]", lambda m: hidden[ord(m.group()) - _HIDDEN], p).strip().strip(",;|/&").strip()
     if _ORG.search(p):
         head, tail = _ORG_HEAD.search(p), _TAIL.search(p)
         if p.count(",") > 1:
@@ -203,7 +203,7 @@ def split_value(text: str | None, prior: dict[tuple[str, ...], float] | None = N
     """The values packed in ``text``, in order, empty places skipped."""
     if not text or not text.strip():
         return []
-    text = text.strip("﻿ \t\r\n ")
+    text = text.strip("\ufeff \t\r\n\xa0")
     scores = score_subsets(text)
     if not scores:
         return []
@@ -213,7 +213,7 @@ def split_value(text: str | None, prior: dict[tuple[str, ...], float] | None = N
     out = []
     for p in _pieces(masked, best):
         p = _NUMBERING.sub("", p.strip())
-        p = p.replace("", "").strip().strip(",;|/&").strip()
+        p = re.sub(r"[\ue700-\uefff]", lambda m: hidden[ord(m.group()) - _HIDDEN], p).strip().strip(",;|/&").strip()
         if len(p) == 1 and 0 <= ord(p) - _MASK < len(kept):
             p = kept[ord(p) - _MASK].strip()
         else:
