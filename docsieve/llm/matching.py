@@ -81,7 +81,7 @@ def read_title(title: str | None) -> tuple[str, str]:
 _STYLES = [
     re.compile(r"^(.+?)\s+/\s+.+?\s+//\s"),
     re.compile(r"[\"“]([^\"“”]{15,}?)[,.]?[\"”]\s*,?"),
-    re.compile(r"\(\d{4}[a-z]?\)\.\s+(.+?)(?:\.|(?<=\?)|\*)\s+[A-ZÀ-Þ][^.]*?(?:\.\s[A-ZÀ-Þ][^.]*?)*,\s*\d"),
+    re.compile(r"\(\d{4}[a-z]?\)\.\s+(.+?)(?:\.|(?<=\?)|\*)\s+[A-ZÀ-Þ][^.]*?(?:\.\s[A-ZÀ-Þ][^.]*?)*\.?,\s*\d"),
     re.compile(r"^[^:]{3,}?:\s+(.+?)\.\s+In:\s"),
 ]
 _TAIL = re.compile(r"(?:\[[A-Z](?:/[A-Z]{1,2})?\]\.?\s.*|\.{1,2}\s+\d{4}[a-z]?;.*)$")
@@ -102,7 +102,7 @@ def title_of(raw: str | None) -> str | None:
         if not tail.group().startswith("["):  # the container still stands before the year
             m = _ABBREVIATED.search(s)
             s = s[: m.start()] if m and "." in m.group()[2:] else re.sub(r"(?:\.|(?<=\?)|\*)\s+[^.?]+$", "", s)
-    parts = [p for p in re.split(r"(?<=[^\W\d_]{2})\.{1,2}\s+|(?<=\s[A-ZÀ-Þ])\.{1,2}\s+(?=[A-ZÀ-Þ][^\W\d_]+\s[^\W\d_]+\s)", s) if len(p.split()) >= 4]
+    parts = [p for p in re.split(r"(?<=[^\W\d_]{2})\.{1,2}\s+|(?<=[)\]])\.{1,2}\s+|(?<=\s[A-ZÀ-Þ])\.{1,2}\s+(?=[A-ZÀ-Þ][^\W\d_]+[\s:])", s) if len(p.split()) >= 4]
     return parts[-1] if parts else None
 
 

@@ -11,6 +11,7 @@ from docsieve.llm.leaks import leak_spans, leaks
 from docsieve.llm.matching import match_records
 from docsieve.llm.name_links import link_names
 from docsieve.llm.packing import bucket_report, containers
+from docsieve.llm.personal import find_personal, redact_personal
 from docsieve.llm.same_look import same_look_pairs
 from docsieve.llm.scan_repair import repair_documents, scan_defects, vocabulary_of
 from docsieve.llm.shared_spans import paragraphs, shared_by_paragraph
@@ -18,6 +19,18 @@ from docsieve.operators.packed import split_packed
 from docsieve.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(submission_id, field, kind, value): every personal datum in the two free texts of a submission."""
+    subs = table(spark, sf_dir, "research_submissions", "id", "reason", "review_summary").distinct()
+    return find_personal(subs, "id", ["reason", "review_summary"]).withColumnRenamed("id", "submission_id")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(submission_id, reason, review_summary): the texts with typed placeholders."""
+    subs = table(spark, sf_dir, "research_submissions", "id", "reason", "review_summary").distinct()
+    return redact_personal(subs, ["reason", "review_summary"]).withColumnRenamed("id", "submission_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, section_no, paragraph_no, shared_chars): paragraphs with at least 200 characters that stand in another document."""
     return shared_by_paragraph(table(spark, sf_dir, "parsed_documents", "id", "sections"))
@@ -115,5 +128,5 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_text(table(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_canonical": p10_canonical}
 SQL: dict[str, str] = {}
