@@ -53,13 +53,14 @@ def words(text: str | None) -> list[str]:
 
 
 class FMIndex:
-    """FM-index of an integer sequence whose patterns have at most ``depth`` symbols; 0 separates and never matches."""
+    """FM-index of an integer sequence; 0 separates and never matches."""
 
-    def __init__(self, seq: np.ndarray, depth: int) -> None:
+    def __init__(self, seq: np.ndarray) -> None:
+        seq = np.append(seq.astype(np.int64) + 1, 0)  # one end symbol, smaller than all others
         n = len(seq)
         self.n, self.bits = n, max(1, int(seq.max(initial=0)).bit_length())
-        sa = self._suffixes(seq, depth)
-        bwt = seq[sa - 1]  # the suffix at 0 wraps to the last symbol, which is a separator
+        sa = self._suffixes(seq)
+        bwt = seq[sa - 1]  # the suffix at 0 wraps to the end symbol
         self.start = np.searchsorted(np.sort(seq), np.arange(int(seq.max(initial=0)) + 2))
         self.ones, self.zeros = [], []
         level = bwt
@@ -77,12 +78,12 @@ class FMIndex:
         self.marked, self.sampled = marked, sa[marked]
 
     @staticmethod
-    def _suffixes(seq: np.ndarray, depth: int) -> np.ndarray:
-        """Suffixes ordered by their first ``depth`` symbols at least (prefix doubling)."""
+    def _suffixes(seq: np.ndarray) -> np.ndarray:
+        """All suffixes in order (prefix doubling, several symbols at once to begin with)."""
         n = len(seq)
-        bits = max(1, int(seq.max(initial=0)).bit_length())
+        bits = int(seq.max(initial=0) + 1).bit_length()
         per = max(1, 62 // bits)
-        padded = np.concatenate([seq, np.zeros(per, seq.dtype)]).astype(np.int64)
+        padded = np.concatenate([seq.astype(np.int64) + 1, np.zeros(per, np.int64)])  # the end is smaller than any symbol
         key = np.zeros(n, np.int64)
         for k in range(per):
             key = (key << bits) | padded[k : k + n]
@@ -91,7 +92,7 @@ class FMIndex:
             sa = np.argsort(key, kind="stable")
             ordered = key[sa]
             rank_sorted = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            if h >= depth or rank_sorted[-1] == n - 1:
+            if rank_sorted[-1] == n - 1:
                 return sa
             rank = np.empty(n, np.int64)
             rank[sa] = rank_sorted
@@ -114,6 +115,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows [lo, hi) of each pattern that occurs: (pattern number, lo, hi)."""
+        patterns = patterns + 1
         alive = np.arange(len(patterns))
         alive = alive[(patterns < len(self.start) - 1).all(axis=1)] if len(patterns) else alive
         lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
@@ -159,7 +161,7 @@ def _scan(passages: Passages, docs: list[tuple[int, np.ndarray, np.ndarray]]) ->
     seq = np.concatenate([x for _, ids, _ in docs for x in (ids, np.zeros(1, np.int64))])
     place = np.concatenate([x for _, _, at in docs for x in (at, np.zeros(1, np.int64))])
     row = np.repeat([r for r, _, _ in docs], [len(ids) + 1 for _, ids, _ in docs])
-    index = FMIndex(seq, passages.n)
+    index = FMIndex(seq)
     found, lo, hi = index.search(passages.patterns)
     if not len(found):
         return
@@ -199,8 +201,6 @@ def leak_spans(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", text
             passages = Passages(sent.value, n)
             names = [i for i, _ in sent.value]
             get = passages.number.get
-            arrow_key = pa.schema([]) if not names else None
-            del arrow_key
             docs, keys, size = [], [], 0
 
             def flush() -> pa.RecordBatch:
