@@ -7,8 +7,9 @@ by code point, within one paragraph of another document.
    minimum of its ``GRAM``-character hashes, the same one wherever it stands.
 2. Anchors of one document only are dropped (minimum and maximum document per
    anchor, combined map-side).
-3. The text around an anchor that any span over it can reach goes to the
-   anchor's reference shard, equal contexts once.  The shard's generalised
+3. Anchors that always stand together form a chain.  The text around a chain
+   that any span over it can reach goes to the chain's reference shard, equal
+   contexts once.  The shard's generalised
    suffix automaton, its states marked with the documents they occur in, is
    streamed with each context for matching statistics: how far back from each
    position the text stands in another document too.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsieve.sources.settle import settle
@@ -37,6 +39,7 @@ from docsieve.sources.settle import settle
 LENGTH = 200
 GRAM = 32
 SHARD = 512
+BROADCAST_ROWS = 200_000  # texts with shared anchors up to which their list is sent to the executors
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -207,15 +210,46 @@ def _stretches(reach: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shard_spans(contexts: list[tuple[int, str, int, int]], length: int) -> list[tuple[int, int, int]]:
-    """(context number, start, end) of the shared stretches in one shard; contexts: (number, text, lowest, highest document)."""
+CORE = "\U0010fffd"  # stands for the text that all contexts of a shard have between their outer anchors
+
+
+def shard_spans(contexts: list[tuple[int, str, int, int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(context number, start, end) of the shared stretches in one shard.
+
+    contexts: (number, text, lowest, highest document, core start, core end).
+    Where the core is the same in all, each stretch over it covers it whole,
+    so one symbol stands for it in the automaton and streams.
+    """
+    if all(lo != hi for _, _, lo, hi, _, _ in contexts):
+        return [(k, 0, len(text)) for k, text, *_ in contexts if len(text) >= length]
     if len(contexts) == 1:
-        k, text, lo, hi = contexts[0]
-        return [(k, 0, len(text))] if lo != hi and len(text) >= length else []
+        return []
+    cores = {text[a:b] for _, text, _, _, a, b in contexts}
+    fold = len(cores) == 1 and len(next(iter(cores))) > 1 and not any(CORE in text for _, text, *_ in contexts)
+    skip = len(next(iter(cores))) - 1 if fold else 0
+    short = [text[:a] + CORE + text[b:] if fold else text for _, text, _, _, a, b in contexts]
     sam = Automaton()
-    for _, text, lo, hi in contexts:
+    for text, (_, _, lo, hi, _, _) in zip(short, contexts, strict=True):
         sam.add(text, lo, hi)
-    return [(k, a, b) for k, text, lo, hi in contexts for a, b in _stretches(sam.statistics(text, lo, hi), length)]
+    out = []
+    for text, (k, _, lo, hi, a, _) in zip(short, contexts, strict=True):
+        reach = sam.statistics(text, lo, hi)
+        if fold:  # back to characters: only stretches over the core count here, all others have their own anchor
+            whole = [(e - r, e + skip) for e, r in enumerate(reach, 1) if e > a >= e - r and r + skip >= length]
+            out += [(k, x, y) for x, y in _union(whole)]
+        else:
+            out += [(k, x, y) for x, y in _stretches(reach, length)]
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def paragraphs(parsed: DataFrame) -> DataFrame:
@@ -228,7 +262,7 @@ def paragraphs(parsed: DataFrame) -> DataFrame:
 def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(group, keys.., span_start, span_end): spans of a text that stand in a text of another ``group``; they may overlap."""
     named = texts.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, *keys, F.col(text).alias("_t"))
-    long = named.where(F.length("_t") >= length).withColumn("_doc", F.xxhash64(group)).withColumn("_par", F.xxhash64(group, *keys))
+    long = named.where(F.length("_t") >= length).withColumn("_doc", F.xxhash64(group)).withColumn("_par", F.xxhash64(group, *keys, "_t"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,44 +270,69 @@ def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, le
             take = pa.array(no)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(place.astype(np.int32))], names=["_doc", "_par", "_anchor", "_at"])
 
-    found = settle(long.select("_doc", "_par", "_t").mapInArrow(find, "_doc bigint, _par bigint, _anchor bigint, _at int"), "span-anchors")
+    found = long.select("_doc", "_par", "_t").mapInArrow(find, "_doc bigint, _par bigint, _anchor bigint, _at int").repartition("_anchor")
     several = found.groupBy("_anchor").agg(F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi")).where("_lo <> _hi").select("_anchor")
-    hits = found.join(several, "_anchor", "left_semi").groupBy("_par").agg(F.collect_set(F.struct("_at", "_anchor")).alias("_hits"))  # at most the length of one text
-    around = F.expr("transform(_hits, h -> struct(h._anchor as _anchor, greatest(0, h._at + {0} - {1}) as _from, h._at + {1} as _to))".format(gram, length))
-    near = long.select("_par", "_doc", "_t").join(hits, "_par").select("_par", "_doc", "_t", F.explode(around).alias("_w"))
-    ctx = near.select("_par", "_doc", F.col("_w._anchor").alias("_anchor"), F.col("_w._from").alias("_from"), F.expr("substring(_t, _w._from + 1, _w._to - _w._from)").alias("_ctx"))
-    ctx = settle(ctx.distinct().withColumn("_key", F.xxhash64("_anchor", "_ctx")), "span-contexts")
-    different = ctx.groupBy("_anchor", "_key").agg(F.first("_ctx").alias("_ctx"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi"))
-    sizes = ctx.groupBy("_anchor").agg(F.approx_count_distinct("_key", 0.05).alias("_n"))
-    big = sizes.where(F.col("_n") > shard).select("_anchor")
-    small = different.join(big, "_anchor", "left_anti").repartition("_anchor").sortWithinPartitions("_anchor", "_key")
+    hits = settle(found.join(several, "_anchor", "left_semi").distinct(), "span-hits")
+    chains = settle(_chains(hits, gram), "span-chains")
+    if chains.count() <= BROADCAST_ROWS:  # checked size; the shuffle join serves beyond it
+        chains = F.broadcast(chains)
+    around = "struct(greatest(0, w._first + {0} - {1}) as _from, w._last - {0} + {1} as _to)".format(gram, length)
+    near = long.select("_par", "_doc", group, *keys, "_t").join(chains, "_par").select("_par", "_doc", group, *keys, "_t", F.explode("_chains").alias("w"))
+    cut = near.select("_par", "_doc", group, *keys, F.col("w._chain").alias("_chain"), "_t", "w", F.expr(around).alias("r"))
+    ctx = cut.select(
+        "_par", "_doc", group, *keys, "_chain", F.col("r._from").alias("_from"),
+        F.expr("w._first - r._from").alias("_c0"), F.expr("w._last - r._from").alias("_c1"), F.expr("substring(_t, r._from + 1, r._to - r._from)").alias("_ctx"),
+    )
+    ctx = settle(ctx.distinct().withColumn("_key", F.xxhash64("_chain", "_ctx", "_c0")), "span-contexts")
+    different = ctx.repartition("_chain").groupBy("_chain", "_key").agg(F.first(F.struct("_ctx", "_c0", "_c1")).alias("x"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi"))
+    different = settle(different.select("_chain", "_key", "x._ctx", "_lo", "_hi", "x._c0", "x._c1"), "span-shards")
+    big = different.groupBy("_chain").count().where(F.col("count") > shard).select("_chain")
+    small = different.join(big, "_chain", "left_anti").repartition("_chain").sortWithinPartitions("_chain", "_key")
 
     def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, []
 
         def done() -> pa.RecordBatch:
             spans = shard_spans(block, length)
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(spans), pa.int64()), pa.array([k for k, _, _ in spans], pa.int64()), pa.array([a for _, a, _ in spans], pa.int32()), pa.array([e for *_, e in spans], pa.int32())], names=["_anchor", "_key", "_a", "_b"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(spans), pa.int64()), pa.array([k for k, _, _ in spans], pa.int64()), pa.array([a for _, a, _ in spans], pa.int32()), pa.array([e for *_, e in spans], pa.int32())], names=["_chain", "_key", "_a", "_b"])
 
         for b in batches:
-            for anchor, key, t, lo, hi in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if anchor != now:
+            for chain, key, t, lo, hi, c0, c1 in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if chain != now:
                     if block:
                         yield done()
-                    now, block = anchor, []
-                block.append((key, t, lo, hi))
+                    now, block = chain, []
+                block.append((key, t, lo, hi, c0, c1))
         if block:
             yield done()
 
-    by_shard = small.select("_anchor", "_key", "_ctx", "_lo", "_hi").mapInArrow(automata, "_anchor bigint, _key bigint, _a int, _b int")
-    windows = different.join(big, "_anchor", "left_semi").select("_anchor", "_key", "_lo", "_hi", F.explode(F.expr(f"sequence(0, length(_ctx) - {length})")).alias("_a"), "_ctx").where(F.length("_ctx") >= length)
-    windows = windows.select("_anchor", "_key", "_lo", "_hi", "_a", F.xxhash64(F.expr(f"substring(_ctx, _a + 1, {length})")).alias("_g"))
-    grams = windows.groupBy("_anchor", "_g").agg(F.min("_lo").alias("_x"), F.max("_hi").alias("_y")).where("_x <> _y").select("_anchor", "_g")
-    by_gram = windows.join(grams, ["_anchor", "_g"], "left_semi").select("_anchor", "_key", "_a", (F.col("_a") + length).alias("_b"))
+    by_shard = small.mapInArrow(automata, "_chain bigint, _key bigint, _a int, _b int")
+    windows = different.join(big, "_chain", "left_semi").where(F.length("_ctx") >= length).select("_chain", "_key", "_lo", "_hi", F.explode(F.expr(f"sequence(0, length(_ctx) - {length})")).alias("_a"), "_ctx")
+    windows = windows.select("_chain", "_key", "_lo", "_hi", "_a", F.xxhash64(F.expr(f"substring(_ctx, _a + 1, {length})")).alias("_g"))
+    grams = windows.groupBy("_chain", "_g").agg(F.min("_lo").alias("_x"), F.max("_hi").alias("_y")).where("_x <> _y").select("_chain", "_g")
+    by_gram = windows.join(grams, ["_chain", "_g"], "left_semi").select("_chain", "_key", "_a", (F.col("_a") + length).alias("_b"))
     spans = by_shard.unionByName(by_gram)
-    placed = ctx.select("_anchor", "_key", "_par", "_from").join(spans, ["_anchor", "_key"]).select("_par", (F.col("_from") + F.col("_a")).alias("span_start"), (F.col("_from") + F.col("_b")).alias("span_end"))
-    merged = placed.groupBy("_par").agg(F.collect_set(F.struct("span_start", "span_end")).alias("_spans"))  # at most a few for each place of one text
-    return long.select("_par", group, *keys).distinct().join(merged, "_par").drop("_par")
+    placed = ctx.select("_chain", "_key", "_par", group, *keys, "_from").join(spans, ["_chain", "_key"])
+    placed = placed.select("_par", group, *keys, F.struct((F.col("_from") + F.col("_a")).alias("span_start"), (F.col("_from") + F.col("_b")).alias("span_end")).alias("s"))
+    return placed.groupBy("_par", group, *keys).agg(F.collect_set("s").alias("_spans")).drop("_par")  # at most a few for each place of one text
+
+
+def _chains(hits: DataFrame, gram: int) -> DataFrame:
+    """(_par, _chains): the shared anchors of each text, those that always stand together as one chain.
+
+    Two neighbouring anchors are linked if every occurrence of either has the
+    other at the same distance; so a chain is the same wherever it occurs and
+    its first anchor names it.
+    """
+    by_text = W.partitionBy("_par").orderBy("_at", "_anchor")
+    step = hits.withColumn("_next", F.lead("_anchor").over(by_text)).withColumn("_gap", F.lead("_at").over(by_text) - F.col("_at"))
+    n = hits.groupBy("_anchor").agg(F.count("*").alias("_n"))
+    pairs = step.where("_next is not null").groupBy("_anchor", "_next", "_gap").agg(F.count("*").alias("_e"))
+    linked = pairs.join(n, "_anchor").where("_e = _n").drop("_n").join(n.select(F.col("_anchor").alias("_next"), "_n"), "_next").where("_e = _n").select("_anchor", "_next", "_gap", F.lit(True).alias("_link"))
+    marked = step.join(linked, ["_anchor", "_next", "_gap"], "left").select("_par", "_at", "_anchor", F.coalesce("_link", F.lit(False)).alias("_link"))
+    numbered = marked.withColumn("_begin", ~F.coalesce(F.lag("_link").over(by_text), F.lit(False))).withColumn("_no", F.sum(F.col("_begin").cast("int")).over(by_text))
+    chain = numbered.groupBy("_par", "_no").agg(F.min(F.struct("_at", "_anchor")).alias("_f"), F.max("_at").alias("_l"))
+    return chain.groupBy("_par").agg(F.collect_list(F.struct(F.col("_f._anchor").alias("_chain"), F.col("_f._at").alias("_first"), (F.col("_l") + gram).alias("_last"))).alias("_chains"))  # at most the length of one text
 
 
 _UNION = """aggregate(array_sort(_spans), named_struct('n', 0, 'e', 0),
