@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["packed_queries"]
+MODULES = ["packed_queries", "text_queries", "review_queries"]
 
 
 def _modules():
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p7_found"](spark, sf_dir)
+    return queries()["longest_shared_run"](spark, sf_dir)
