@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from docsieve.sources.settle import settle
 
 LENGTH = 200
-GRAM = 32
+GRAM = 96  # long enough that phrases of one kind of text rarely fill it, short enough that anchors stay sparse
 SHARD = 512
-BROADCAST_ROWS = 200_000  # texts with shared anchors up to which their list is sent to the executors
+BROADCAST_ROWS = 200_000  # rows of a written list up to which it is sent to the executors
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -270,12 +270,10 @@ def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, le
             take = pa.array(no)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(place.astype(np.int32))], names=["_doc", "_par", "_anchor", "_at"])
 
-    found = long.select("_doc", "_par", "_t").mapInArrow(find, "_doc bigint, _par bigint, _anchor bigint, _at int").repartition("_anchor")
+    found = settle(long.select("_doc", "_par", "_t").mapInArrow(find, "_doc bigint, _par bigint, _anchor bigint, _at int"), "span-anchors")
     several = found.groupBy("_anchor").agg(F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi")).where("_lo <> _hi").select("_anchor")
-    hits = settle(found.join(several, "_anchor", "left_semi").distinct(), "span-hits")
-    chains = settle(_chains(hits, gram), "span-chains")
-    if chains.count() <= BROADCAST_ROWS:  # checked size; the shuffle join serves beyond it
-        chains = F.broadcast(chains)
+    hits = settle(found.join(_near(settle(several, "span-shared")), "_anchor", "left_semi").distinct(), "span-hits")
+    chains = _near(settle(_chains(hits, gram), "span-chains"))
     around = "struct(greatest(0, w._first + {0} - {1}) as _from, w._last - {0} + {1} as _to)".format(gram, length)
     near = long.select("_par", "_doc", group, *keys, "_t").join(chains, "_par").select("_par", "_doc", group, *keys, "_t", F.explode("_chains").alias("w"))
     cut = near.select("_par", "_doc", group, *keys, F.col("w._chain").alias("_chain"), "_t", "w", F.expr(around).alias("r"))
@@ -317,6 +315,11 @@ def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, le
     return placed.groupBy("_par", group, *keys).agg(F.collect_set("s").alias("_spans")).drop("_par")  # at most a few for each place of one text
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """Sent to the executors if its size, which is counted, allows; joined by a shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _chains(hits: DataFrame, gram: int) -> DataFrame:
     """(_par, _chains): the shared anchors of each text, those that always stand together as one chain.
 
