@@ -328,6 +328,8 @@ def language_cases(labelled: DataFrame) -> DataFrame:
     notation = F.create_map(*[F.lit(x) for pair in _NAME.items() for x in pair])
     norm = F.lower(F.trim(F.regexp_replace("label", "_", "-")))
     said = F.coalesce(F.try_element_at(notation, norm), F.try_element_at(notation, F.split(norm, r"[-\s(]")[0]))
-    whole = labelled.where("lang is not null").withColumn("_said", said).where("_said is null or _said <> lang").select("document_id", F.lit(0).alias("section_no"), F.lit(0).alias("paragraph_no"), "lang")
-    parts = labelled.select("document_id", F.explode("segments").alias("s")).select("document_id", "s.section_no", "s.paragraph_no", "s.lang")
-    return whole.unionByName(parts).distinct()
+    entry = "array<struct<section_no:int,paragraph_no:int,lang:string>>"
+    wrong = F.col("lang").isNotNull() & (said.isNull() | (said != F.col("lang")))
+    whole = F.when(wrong, F.array(F.struct(F.lit(0).alias("section_no"), F.lit(0).alias("paragraph_no"), F.col("lang").alias("lang")))).otherwise(F.array()).cast(entry)
+    parts = F.transform("segments", lambda s: F.struct(s["section_no"].alias("section_no"), s["paragraph_no"].alias("paragraph_no"), s["lang"].alias("lang"))).cast(entry)
+    return labelled.select("document_id", F.explode(F.concat(whole, parts)).alias("c")).select("document_id", "c.section_no", "c.paragraph_no", "c.lang").distinct()
