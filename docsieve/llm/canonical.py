@@ -115,7 +115,7 @@ def _compiled() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[str, str]]:
     gone = _class([s for s, t in table.items() if not t])
     any_source = _class(list(table))
     singles = re.compile(f"[{any_source}]+")
-    clusters = re.compile(f"[^{_MARKS}{gone}\\s](?:[{gone}]*[{_MARKS}])+|[{any_source}]+|[{_MARKS}]+")
+    clusters = re.compile(f"[^{_MARKS}{gone}\\s](?:[{gone}]*[{_MARKS}])+|(?:[{any_source}](?![{gone}]*[{_MARKS}]))+|[{_MARKS}]+")
     return singles, clusters, re.compile(f"[{_MARKS}]"), table
 
 

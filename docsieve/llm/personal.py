@@ -112,7 +112,7 @@ _NAME = re.compile(
 )
 _CUED = re.compile(rf"(?:(?<!\w){TITLES}\s+(?:{TITLES}\s+)*|(?<!\w){CUES}\s?[:,：]?\s?)(?P<name>(?:(?:{_G}|{_INITIAL})\s){{0,3}}{_SURNAME})(?![\w@])")
 _TITLED = re.compile(rf"(?<!\w){TITLES}\s+(?:{TITLES}\s+)*$")
-_BEFORE_INITIAL = re.compile(r"(?:[\d°µ/%]|\b(?:appendix|anhang|annexe|anexo|apéndice|table|figure|section|panel|group|grade|vitamin|hepatitis|type|class|series|and|site))\s*$", re.I)
+_BEFORE_INITIAL = re.compile(r"(?:[\d°µ/%]|\b(?:appendix|anhang|annexe|anexo|apéndice|table|figure|section|panel|group|grade|vitamin|hepatitis|type|class|series|site))\s*$", re.I)
 # Words that begin sentences or name things, never persons.
 NOT_NAMES = set(
     """
