@@ -52,7 +52,7 @@ _ORG_HEAD = re.compile(rf"(?i)\b(?:{'|'.join(ORG_WORDS)})\b\.?")
 _TAIL = re.compile(rf"(?i)\b(?:{'|'.join(ORG_TAILS)})\b")
 _NUMBERING = re.compile(r"^\s*(?:[\(\[]\s*\d{1,3}\s*[\)\]]|\d{1,3}\s*[.):])\s*(?=\D)")
 _ACRONYM = re.compile(r"[A-Z]{3,}(?:\s+\w[\w'’.-]*){0,3}$")
-_INITIALS = re.compile(r"(?:[^\W\d_]\.?[\s-]?){1,4}$")
+_INITIALS = re.compile(r"(?:[^\W\d_](?:\.\s?-?|[\s-]|$)){1,4}$|[A-ZÀ-Þ]{1,3}$")
 _ET_AL = re.compile(r"(?i)\bet\s+al\b\.?|等$")
 _SPLIT = {k: re.compile(v) for k, v in DELIMITERS.items()}
 _WORD = re.compile(r"[^\W\d_](?:[\w'’`.-]*)")
