@@ -2,13 +2,14 @@
 
 Each spelling is read into its fields: surname, given name, initials, nickname;
 an organisation into its words without abbreviations, its place, its acronym.
-Candidates come from suffix blocking: suffixes of the surname (for
-organisations: of each word) above a minimum length are indexed, refined by
-another field (the initial, for organisations the place).  A refined suffix
-that is still overly common is discarded; its pairs are not lost, because the
-whole surname and the head of the surname with the given name are indexed too
-and are never discarded.  Pairs are compared by the longest-common-subsequence
-ratio of their fields, and must not contradict each other in any.
+Persons of one surname are compared where they share an initial that one of
+them can stand for; surnames one slip apart are found by leaving a letter out
+of each, which misses none.  Organisations come from suffix blocking: suffixes
+of each word above a minimum length are indexed, refined by place, beside the
+words with one of them damaged.  No key is discarded for being common: equal
+fields are one class first, so a block holds different fields only.  Pairs are
+compared by the longest-common-subsequence ratio of their fields, and must not
+contradict each other in any.
 
 Nicknames are learned from spellings that state both ("Robert "Bob" ..."), the
 common given names from their frequency; both lists hold only entries above a
@@ -34,8 +35,7 @@ from docsieve.operators.packed import ORG_TAILS, ORG_WORDS
 from docsieve.sources.settle import settle
 
 MIN_SUFFIX = 4
-HEAD = 4
-COMMON_BLOCK = 200  # spellings under one refined suffix above which it is discarded
+MIN_ERROR = 5  # letters of a surname in which a slip is looked for
 MIN_SHARE = 2e-5  # of all spellings: at most 1 / MIN_SHARE learned names
 LCS_RATIO = 0.8
 
@@ -63,6 +63,15 @@ class Name:
     def __init__(self, kind: str, surname: str = "", given: str = "", middle: str = "", nick: str = "", words: tuple = (), place: str = "", acronym: str = "") -> None:
         self.kind, self.surname, self.given, self.middle, self.nick, self.words, self.place, self.acronym = kind, surname, given, middle, nick, words, place, acronym
 
+    def packed(self) -> str:
+        """The fields as one string; ``unpacked`` reads it."""
+        return "\x1f".join([self.kind, self.surname, self.given, self.middle, self.nick, " ".join(self.words), self.place, self.acronym])
+
+
+def unpacked(fields: str) -> Name:
+    kind, surname, given, middle, nick, words, place, acronym = fields.split("\x1f")
+    return Name(kind, surname, given, middle, nick, tuple(words.split()), place, acronym)
+
 
 def _letters(word: str) -> str:
     return "".join(c for c in fold(word) if c.isalpha() or c == "-")
@@ -207,7 +216,7 @@ def middle_agree(a: Name, b: Name) -> bool:
 
 def surname_error(a: str, b: str) -> bool:
     """Whether two surnames differ by one slip of the keyboard."""
-    return min(len(a), len(b)) >= 5 and a[0:1] + a[-1:] != "" and damerau(a, b, 1) <= 1 and ratio(a, b) >= LCS_RATIO
+    return min(len(a), len(b)) >= MIN_ERROR and a[0:1] + a[-1:] != "" and damerau(a, b, 1) <= 1 and ratio(a, b) >= LCS_RATIO
 
 
 def same_org(a: Name, b: Name) -> bool:
@@ -238,46 +247,50 @@ def same_org(a: Name, b: Name) -> bool:
     return True
 
 
-def same_name(a: Name, b: Name, a_alone: bool, b_alone: bool, lists: Lists) -> bool:
-    """Whether two spellings agree in all fields; ``alone``: no other spelling has this surname."""
+def agree(a: Name, b: Name, lists: Lists) -> bool:
+    """Whether two spellings, with surnames that are equal or one slip apart, agree in all other fields."""
     if a.kind != "person" or b.kind != "person":
-        if {a.kind, b.kind} <= {"org", "acronym"}:
-            return same_org(a, b)
-        return False
-    if not middle_agree(a, b):
-        return False
-    if a.surname == b.surname:
-        return given_agree(a, b, lists)
-    if not (a_alone or b_alone) or not surname_error(a.surname, b.surname):
-        return False
-    return given_agree(a, b, lists)
+        return {a.kind, b.kind} <= {"org", "acronym"} and same_org(a, b)
+    return middle_agree(a, b) and given_agree(a, b, lists)
+
 
+def firsts(n: Name, lists: Lists) -> set[str]:
+    """The initials under which a person can agree with another: whenever given_agree holds, two spellings share one."""
+    out = {n.given[:1]}
+    if len(n.given) > 1:
+        out.update(g[:1] for g in lists.stands_for(n.given))
+    if n.nick:
+        out.add(n.nick[:1])
+    return out
 
-def block_keys(n: Name, lists: Lists) -> list[tuple[str, bool]]:
-    """(key, whether it may be discarded when overly common) of one spelling."""
+
+def shortened(word: str, most: int = 1) -> set[str]:
+    """The word and every form with up to ``most`` letters left out; words within as many slips of each other share one."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def block_keys(n: Name, lists: Lists) -> set[str]:
+    """The keys of one spelling; none is ever discarded.  Persons of one surname; misspelled surnames go by ``near_surnames``."""
     if n.kind == "person":
-        if not n.surname:
-            return []
-        firsts = {n.given[:1], *(g[:1] for g in lists.stands_for(n.given))} if len(n.given) > 1 else {n.given[:1]}
-        keys = [(f"p|{n.surname}|{f}", False) for f in firsts]
-        for i in range(1, len(n.surname) - MIN_SUFFIX + 1):
-            keys += [(f"s|{n.surname[i:]}|{f}", True) for f in firsts]
-        # the rest damaged: head of the surname
-        keys += [(f"h|{n.surname[:HEAD]}|{f}", False) for f in firsts]
-        if len(n.given) > 1:
-            keys += [(f"g|{n.surname[:2]}|{g}", False) for g in lists.stands_for(n.given)]
-        return keys
-    keys = []
+        return {f"p|{n.surname}|{f}" for f in firsts(n, lists)} if n.surname else set()
+    keys = set()
     if n.acronym and len(n.acronym) >= 3:
-        keys.append((f"a|{n.acronym}|{n.place}", False))
+        keys.add(f"a|{n.acronym}|{n.place}")
     if n.kind == "acronym":
-        return [*keys, (f"p|{n.surname}|{n.given[:1]}", False)]
-    significant = sorted({w for w in n.words if len(w) >= MIN_SUFFIX and w not in ORG_WORDS and w not in ORG_TAILS})
+        return keys
+    significant = {w for w in n.words if len(w) >= MIN_SUFFIX and w not in ORG_WORDS and w not in ORG_TAILS}
     for w in significant:
         for i in range(0, len(w) - MIN_SUFFIX + 1):
-            keys.append((f"o|{w[i:]}|{n.place}|{len(n.words)}", True))
-        keys.append((f"w|{w}|{n.acronym}", False))
-    keys.append((f"b|{' '.join(sorted([*n.words, *n.place.split()]))}", False))
+            keys.add(f"o|{w[i:]}|{n.place}|{len(n.words)}")
+        keys.add(f"w|{w}|{n.acronym}")
+    for i, w in enumerate(n.words):  # one damaged word, whatever the place
+        rest = " ".join(sorted(n.words[:i] + n.words[i + 1 :]))
+        keys.update(f"d|{v}|{rest}" for v in shortened(w, 2 if len(w) >= 8 else 1) if n.words[1:] or len(v) >= MIN_SUFFIX)
+    keys.add(f"b|{''.join(sorted(''.join([*n.words, n.place]).replace(' ', '')))}")
     return keys
 
 
@@ -321,29 +334,77 @@ def link_names(spellings: DataFrame) -> DataFrame:
             kept["l"] = Lists(*sent.value)
         return kept["l"]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = [n and n.packed() for n in map(read_name, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fields, pa.string())], names=["name", "fields"])
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys, soft, surname = [], [], [], []
+            at, keys = [], []
             for i, t in enumerate(b.column(0).to_pylist()):
-                n = read_name(t)
-                if n is not None:
-                    for k, common in dict(block_keys(n, learned())).items():
-                        at.append(i), keys.append(k), soft.append(common), surname.append(n.surname if n.kind == "person" else "")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(surname, pa.string()), pa.array(keys, pa.string()), pa.array(soft, pa.bool_())], names=["name", "surname", "key", "soft"])
-
-    keyed = settle(names.mapInArrow(index, "name string, surname string, key string, soft boolean"), "name-keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("soft").alias("soft")).where(f"n > 1 and not (soft and n > {COMMON_BLOCK})").select("key")
-    alone = keyed.where("surname <> ''").groupBy("surname").agg((F.min("name") == F.max("name")).alias("alone"))
-    used = keyed.join(sizes, "key").join(alone, "surname", "left").select("key", "name", F.coalesce("alone", F.lit(False)).alias("alone"))
-    a, b = used.alias("a"), used.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key and a.name < b.name")).select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), F.col("a.alone").alias("alone_a"), F.col("b.alone").alias("alone_b")).distinct()
+                for k in block_keys(unpacked(t), learned()):
+                    at.append(i), keys.append(k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["fields", "key"])
+
+    def initials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, surname, first = [], [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                n = unpacked(t)
+                if n.kind == "person" and n.given and len(n.surname) >= MIN_ERROR:
+                    for f in firsts(n, learned()):
+                        at.append(i), surname.append(n.surname), first.append(f)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(surname, pa.string()), pa.array(first, pa.string())], names=["fields", "surname", "first"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lru_cache(maxsize=50_000)(read_name)
+        fields = lru_cache(maxsize=50_000)(unpacked)
         for batch in batches:
-            ok = []
-            for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ok.append(same_name(read(x), read(y), p, q, learned()))
+            ok = [agree(fields(x), fields(y), learned()) for x, y in zip(batch.column("fields_a").to_pylist(), batch.column("fields_b").to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(compare, pairs.schema).select("name_a", "name_b").distinct()
+    # spellings of equal fields are one class until the pairs are formed
+    members = settle(names.mapInArrow(read, "name string, fields string").where("fields is not null"), "name-fields")
+    classes = members.groupBy("fields").agg((F.count("*") == 1).alias("single"))
+    keyed = settle(classes.select("fields").mapInArrow(index, "fields string, key string"), "name-keys")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, F.expr("a.key = b.key and a.fields <= b.fields")).select(F.col("a.fields").alias("fields_a"), F.col("b.fields").alias("fields_b")).distinct()
+    same = pairs.mapInArrow(compare, pairs.schema)
+
+    persons = settle(classes.select("fields").mapInArrow(initials, "fields string, surname string, first string"), "name-initials")
+    alone = persons.join(classes, "fields").groupBy("surname").agg((F.min("single") & (F.min("fields") == F.max("fields"))).alias("alone"))
+    near = near_surnames(persons.select("surname").distinct())
+    near = near.join(alone.select(F.col("surname").alias("surname_a"), F.col("alone").alias("alone_a")), "surname_a").join(alone.select(F.col("surname").alias("surname_b"), F.col("alone").alias("alone_b")), "surname_b").where("alone_a or alone_b")
+    left, right = (persons.select(F.col("fields").alias(f"fields_{x}"), F.col("surname").alias(f"surname_{x}"), "first") for x in "ab")
+    slips = near.join(left, "surname_a").join(right, ["surname_b", "first"]).select("fields_a", "fields_b").distinct()
+    linked = same.unionAll(slips.mapInArrow(compare, slips.schema))
+    x, y = (members.select(F.col("fields").alias(f"fields_{k}"), F.col("name").alias(f"_{k}")) for k in "ab")
+    both = linked.join(x, "fields_a").join(y, "fields_b").where("fields_a <> fields_b or _a < _b")
+    return both.select(F.least("_a", "_b").alias("name_a"), F.greatest("_a", "_b").alias("name_b")).distinct()
+
+
+def near_surnames(surnames: DataFrame) -> DataFrame:
+    """(surname_a, surname_b): different surnames one slip apart, every pair of them.
+
+    Two such surnames are equal with at most one letter left out of each, so
+    these forms join.  A form is shared by no more surnames than there are
+    places and letters to put in.
+    """
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                for v in shortened(t):
+                    at.append(i), out.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["surname", "form"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [surname_error(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    keyed = settle(surnames.where(F.length("surname") >= MIN_ERROR).mapInArrow(forms, "surname string, form string"), "surname-forms")
+    a, b = keyed.select(F.col("surname").alias("surname_a"), "form"), keyed.select(F.col("surname").alias("surname_b"), "form")
+    pairs = a.join(b, "form").where("surname_a < surname_b").select("surname_a", "surname_b").distinct()
+    return settle(pairs.mapInArrow(compare, pairs.schema), "near-surnames")

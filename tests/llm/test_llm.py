@@ -191,3 +191,22 @@ def test_names(spark):
     assert all(a < b for a, b in got)
     assert {("Robert Tosvaano", "Tosvaano, R."), ("Robert Tosvaano", "Robert Tsvaano"), ("Robert Tosvaano", "TOSVAANO Robert"), ("Bob Tosvaano", "Robert Tosvaano"), ("Centre of Water Studies, Oslo", "Ctr. of Water Studies (Oslo)")} <= got
     assert not any("Maria" in a + b or ("Lundmann" in a) != ("Lundmann" in b) for a, b in got)
+
+
+def test_every_slip_of_a_surname_is_compared(spark):
+    full, slips = "Nedolov", set()
+    for i in range(len(full)):
+        slips |= {full[:i] + full[i + 1 :], full[:i] + "x" + full[i:], full[:i] + "x" + full[i + 1 :], full[:i] + full[i + 1 : i + 2] + full[i] + full[i + 2 :]}
+    slips = sorted(w for w in slips if name_links.surname_error(w.lower(), "nedolov"))
+    for right, wrong in (("Nedolov G", "Gabriele {}"), ("Gabriele Nedolov", "{}, G.")):
+        names = [right, "Gabriele Nedolov", *(wrong.format(w) for w in slips)]
+        got = {tuple(r) for r in name_links.link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+        assert all((min(right, w), max(right, w)) in got for w in names[2:])
+
+
+def test_common_suffixes_are_not_dropped(spark):
+    letters = "bcdfghklmnprstvwxz"
+    names = [f"Centre of {a}{b}{c}ology Studies, Oslo" for a in letters[:7] for b in letters[:6] for c in letters[:6]]
+    names += ["Centre of Megageobology Studies, Oslo", "Centre of Qegageobxlogy Studies, Oslo"]
+    got = {tuple(r) for r in name_links.link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert ("Centre of Megageobology Studies, Oslo", "Centre of Qegageobxlogy Studies, Oslo") in got
