@@ -15,7 +15,7 @@ from docsieve.streaming import limits
 
 def tile_signatures(spark: SparkSession, d: str) -> DataFrame:
     s = images.signatures(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
-    return s.select("vec_id", F.bit_count("sig").alias("ones"), F.round("minority", 6).alias("minority"), F.round("variance", 6).alias("variance"))
+    return s.select("vec_id", images.ones("sig").alias("ones"), F.round("minority", 6).alias("minority"), F.round("variance", 6).alias("variance"))
 
 
 def tile_reuse(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 import difflib
+import itertools
 import random
 
 from docsieve.functions import text as T
@@ -89,6 +90,21 @@ def test_images(spark):
     assert [tuple(r) for r in images.later_duplicates(d, "h", ["o"], "k").collect()] == [("b", "a")]
 
 
+def test_image_signatures_hold_every_sample(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in (64, 256):
+        base = [float(rng.random() < 0.5) for _ in range(n)]
+        for flips in ([], [n - 1], [n - 1, 3], [63, 5, 6, 7], rng.sample(range(n), 20)):
+            rows.append((len(rows), [1.0 - x if i in flips else x for i, x in enumerate(base)]))
+    bits = {k: [x >= sum(v) / len(v) for x in v] for k, v in rows}
+    s = images.signatures(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v").cache()
+    assert {r.k: (r.ones, round(r.minority, 9)) for r in s.select("k", images.ones("sig").alias("ones"), "minority").collect()} == {k: (sum(b), round(min(sum(b), len(b) - sum(b)) / len(b), 9)) for k, b in bits.items()}
+    far = {(a, b): sum(x != y for x, y in itertools.zip_longest(bits[a], bits[b], fillvalue=False)) for a in bits for b in bits if a < b}
+    for most in (0, 2, 6, 70):
+        assert {(r.k_a, r.k_b): r.distance for r in images.near_equal(s, "k", most=most).collect()} == {p: d for p, d in far.items() if d <= most}
+
+
 def test_budgets_and_upsert(spark):
     d = spark.createDataFrame([("t", 1, 60), ("t", 2, 50), ("t", 3, 40), ("t", 4, None)], "g string, o int, s int")
     assert sorted(r.o for r in review.skipping_budget(d, "g", "o", "s", 100).collect()) == [1, 3, 4]
