@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 MIN_SHARE = 1e-6
 MIN_COUNT = 3
+ESTABLISHED = 4e-5  # of all occurrences: share of a word that stands on its own beside a hyphen
 RARER = 40  # a word of the vocabulary is taken for a misreading if a look-alike is so many times as frequent
 
 # What a scanner reads (left) for what stands on the page (right).
@@ -83,6 +84,7 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
+        self.most, self.total = max(counts.values(), default=0), sum(counts.values())
         self.root: dict = {}
         self.cache: dict[str, list[tuple[str, float]]] = {}
         for w in counts:
@@ -92,6 +94,10 @@ class Vocabulary:
                     node = node.setdefault(ch, {})
                 node[""] = w
 
+    def established(self, word: str) -> bool:
+        """Whether a word has its share of all occurrences, however large the corpus."""
+        return self.counts.get(word.lower(), 0) >= max(1.0, ESTABLISHED * self.total)
+
     @staticmethod
     def _walk(node: dict, rest: str) -> dict | None:
         for ch in rest:
@@ -137,8 +143,8 @@ class Vocabulary:
         """The word that ``word`` is a misreading of, or None."""
         n = self.counts.get(word, 0)
         odd = not word.replace("-", "").replace("’", "").replace("'", "").isalpha() or any(c in "ﬀﬁﬂﬃﬄ" for c in word)
-        if n and not odd and n * RARER > 100_000_000:
-            return None
+        if n * RARER > self.most:
+            return None  # no look-alike can be so many times as frequent
         best, best_score = None, 0.0
         for w, cost in self.candidates(word):
             c = self.counts[w]
@@ -279,7 +285,7 @@ def _own_hyphen(left: str, right: str, mark: str, vocabulary: Vocabulary) -> str
         return joined
     if right.lower() in CONJUNCTIONS:
         return None
-    if mark == "-" and "-" not in left and vocabulary.counts.get(left.lower(), 0) >= 50 and vocabulary.counts.get(right.lower(), 0) >= 50 and len(left) > 3 and len(right) > 3:
+    if mark == "-" and "-" not in left and vocabulary.established(left) and vocabulary.established(right) and len(left) > 3 and len(right) > 3:
         fixed = vocabulary.correct(joined.lower())
         if fixed is None:
             return kept
@@ -338,10 +344,9 @@ def repair(text: str, furniture: Furniture, vocabulary: Vocabulary, local: Count
             at = len(word)
     text = "".join(parts) + text[at:]
     fixed: dict[str, str] = {}
-    counts = vocabulary.counts
     for token in set(text.split()):
         word = _EDGE.sub("", token)
-        if word in fixed or len(word) < 3 or word in counts and counts[word] >= 200 or not word[-1:].isalpha() and not word[-1:].isdigit() and word[-1:] not in "@$!|":
+        if word in fixed or len(word) < 3 or not word[-1:].isalpha() and not word[-1:].isdigit() and word[-1:] not in "@$!|":
             continue
         if word != word.lower() or not re.search(r"[^\W\d_]{2}", word) or sum(c.isdigit() for c in word) > 1 or "/" in word or "." in word:
             continue

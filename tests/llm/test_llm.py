@@ -210,3 +210,13 @@ def test_common_suffixes_are_not_dropped(spark):
     names += ["Centre of Megageobology Studies, Oslo", "Centre of Qegageobxlogy Studies, Oslo"]
     got = {tuple(r) for r in name_links.link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert ("Centre of Megageobology Studies, Oslo", "Centre of Qegageobxlogy Studies, Oslo") in got
+
+
+def test_repair_depends_on_ratios_alone():
+    f = scan_repair.Furniture(None, None)
+    for times in (1, 1000, 1_000_000):
+        v = scan_repair.Vocabulary({w: n * times for w, n in {"fracture": 1000, "fractiire": 8, "soil": 600, "depth": 600, "the": 25_000}.items()})
+        r = scan_repair.repair("the fractiire of the soil-\ndepth", f, v)
+        assert r.text == "the fracture of the soil-depth" and sorted(r.defects) == [("glyph", "fracture"), ("hyphen", "soil-depth")]
+    large = {w: n * 1000 for w, n in {"soil": 60, "depth": 60, "the": 25_000_000}.items()}  # rare by share, frequent by count
+    assert scan_repair.repair("the soil-\ndepth", f, scan_repair.Vocabulary(large)).text == "the soildepth"
