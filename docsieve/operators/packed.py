@@ -56,11 +56,12 @@ _INITIALS = re.compile(r"(?:[^\W\d_](?:\.\s?-?|[\s-]|$)){1,4}$|[A-ZÀ-Þ]{1,3}$"
 _ET_AL = re.compile(r"(?i)\bet\s+al\b\.?|等$")
 _SPLIT = {k: re.compile(v) for k, v in DELIMITERS.items()}
 _WORD = re.compile(r"[^\W\d_](?:[\w'’`.-]*)")
-_MASK = 0xE000
+_QUOTED, _HIDDEN = "\ud800", "\ud801"  # stand for what is masked, in order; no string of a table can hold half a surrogate pair
+_CLOSED = re.compile(r"\s*(?:$|[;；|｜\t\r\n/／•·、，,&＆和与及]|(?:and|und|et|y|e|with|och|en)\s)")
 
 
 def _mask_quotes(text: str) -> tuple[str, list[str]]:
-    """Quoted values (at the start of a place, closing before the next) become one private character each."""
+    """Quoted values (at the start of a place, closing before the next) become one ``_QUOTED`` each."""
     out, kept, i, at_start = [], [], 0, True
     while i < len(text):
         ch = text[i]
@@ -71,13 +72,12 @@ def _mask_quotes(text: str) -> tuple[str, list[str]]:
                 if text[j : j + 2] == close * 2:
                     j += 2
                     continue
-                rest = text[j + 1 :]
-                if re.match(r"\s*(?:$|[;；|｜\t\r\n/／•·、，,&＆和与及]|(?:and|und|et|y|e|with|och|en)\s)", rest):
+                if _CLOSED.match(text, j + 1):
                     found = j
                     break
                 j += 1
             if found > 0 and text[i + 1 : found].strip():
-                out.append(chr(_MASK + len(kept)))
+                out.append(_QUOTED)
                 kept.append(text[i + 1 : found].replace(close * 2, close))
                 i, at_start = found + 1, False
                 continue
@@ -85,7 +85,7 @@ def _mask_quotes(text: str) -> tuple[str, list[str]]:
         if ch in ";；|｜\t\r\n/／•·、，,&＆和与及":
             at_start = True
         elif ch.isspace():
-            at_start = at_start or bool(re.search(r"(?:^|\s)(?:and|und|et|y|e|with|och|en)$|^\s*\d{1,3}[.)]$|[\s,;]\d{1,3}[.)]$", "".join(out[:-1])[-8:]))
+            at_start = at_start or bool(re.search(r"(?:^|\s)(?:and|und|et|y|e|with|och|en)$|^\s*\d{1,3}[.)]$|[\s,;]\d{1,3}[.)]$", "".join(out[-9:-1])))
         else:
             at_start = False
         i += 1
@@ -97,17 +97,14 @@ _PROTECT = re.compile(
 )
 
 
-_HIDDEN = 0xE700
-
-
 def _protect_orgs(text: str) -> tuple[str, list[str]]:
-    """An 'and' inside 'Centre of X and Y Studies' doesn't delimit: each such word becomes one private character."""
+    """An 'and' inside 'Centre of X and Y Studies' doesn't delimit: each such word becomes one ``_HIDDEN``."""
     words: list[str] = []
 
     def hide(m: re.Match) -> str:
         inner = m.group(0)
         words.append(m.group(1))
-        return inner[: m.start(1) - m.start()] + chr(_HIDDEN + len(words) - 1) + inner[m.end(1) - m.start() :]
+        return inner[: m.start(1) - m.start()] + _HIDDEN + inner[m.end(1) - m.start() :]
 
     return _PROTECT.sub(hide, text), words
 
@@ -117,11 +114,10 @@ def piece_score(piece: str, delims: str = ";；|｜\n\t/／•·、，&＆") ->
     p = piece.strip()
     if not p:
         return -1.0  # an empty place is skipped, not scored
-    if _MASK <= ord(p[0]) < 0xE700 and len(p) == 1:
+    if p == _QUOTED:
         return 1.0
     if any(c in p for c in delims) or _SPLIT["numbered"].search(p):
         return 0.0
-        p = re.sub(r"[\ue700-\uefff]", lambda m: hidden[ord(m.group()) - _HIDDEN], p).strip().strip(",;|/&").strip()
     if _ORG.search(p):
         head, tail = _ORG_HEAD.search(p), _TAIL.search(p)
         if p.count(",") > 1:
@@ -210,14 +206,12 @@ def split_value(text: str | None, prior: dict[tuple[str, ...], float] | None = N
     best = choose(scores, prior)
     masked, kept = _mask_quotes(text)
     masked, hidden = _protect_orgs(masked)
+    quoted, words = iter(kept), iter(hidden)
     out = []
     for p in _pieces(masked, best):
         p = _NUMBERING.sub("", p.strip())
-        p = re.sub(r"[\ue700-\uefff]", lambda m: hidden[ord(m.group()) - _HIDDEN], p).strip().strip(",;|/&").strip()
-        if len(p) == 1 and 0 <= ord(p) - _MASK < len(kept):
-            p = kept[ord(p) - _MASK].strip()
-        else:
-            p = "".join(f'"{kept[ord(c) - _MASK]}"' if 0 <= ord(c) - _MASK < len(kept) else c for c in p)
+        p = re.sub(_HIDDEN, lambda _: next(words), p).strip().strip(",;|/&").strip()
+        p = next(quoted).strip() if p == _QUOTED else re.sub(_QUOTED, lambda _: f'"{next(quoted)}"', p)
         p = re.sub(r"^(?:and|und|et|y)\s+(?=\S)", "", p, flags=re.I).strip()
         p = re.sub(r"\s*\bet\s+al\b\.?$", "", p, flags=re.I).strip()
         if p and re.search(r"\w", p):

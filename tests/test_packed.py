@@ -36,3 +36,11 @@ def test_source_prior(spark):
 
 def test_long_value():
     assert len(split_value("; ".join(["Ada Lund"] * 3000))) == 3000
+
+
+def test_any_number_of_quoted_values_and_private_characters():
+    names = [f"Lund{i}, Ada" for i in range(4000)]
+    assert split_value("; ".join(f'"{n}"' for n in names)) == names
+    groups = ["Centre of Soil and Water Studies, Oslo"] * 4200
+    assert split_value(" / ".join(groups)) == groups
+    assert split_value('"Lund, \ue000 Ada"; Ivo \ue700 Berg; Kim \ue000 Holm') == ["Lund, \ue000 Ada", "Ivo \ue700 Berg", "Kim \ue000 Holm"]
