@@ -11,6 +11,11 @@ fields are one class first, so a block holds different fields only.  Pairs are
 compared by the longest-common-subsequence ratio of their fields, and must not
 contradict each other in any.
 
+A surname is a slip of one next to it if every spelling of it agrees with a
+spelling of the other, and either no two of its own spellings agree (each
+person made the slip once), or it is ``RARER`` times rarer, or, where two
+letters are exchanged, which makes hardly any other surname, no more frequent.
+
 Nicknames are learned from spellings that state both ("Robert "Bob" ..."), the
 common given names from their frequency; both lists hold only entries above a
 share of all spellings, which bounds their size.
@@ -36,6 +41,7 @@ from docsieve.sources.settle import settle
 
 MIN_SUFFIX = 4
 MIN_ERROR = 5  # letters of a surname in which a slip is looked for
+RARER = 20  # a surname that one person spells in several ways is taken for a slip of one so many times as frequent
 MIN_SHARE = 2e-5  # of all spellings: at most 1 / MIN_SHARE learned names
 LCS_RATIO = 0.8
 
@@ -321,10 +327,10 @@ def _learn(names: DataFrame) -> Lists:
 def link_names(spellings: DataFrame) -> DataFrame:
     """(name_a, name_b), name_a < name_b in code point order: pairs of different spellings of one author.
 
-    ``spellings`` has one column ``name``.
+    ``spellings`` has one column ``name``, one row for each occurrence.
     """
     spark = spellings.sparkSession
-    names = settle(spellings.where("name is not null and trim(name) <> ''").select("name").distinct(), "name-spellings")
+    names = settle(spellings.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("rows")), "name-spellings")
     lists = _learn(names)
     sent = spark.sparkContext.broadcast((lists.given, lists.nicknames))  # at most 2 / MIN_SHARE names
     kept: dict[str, Lists] = {}
@@ -337,7 +343,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fields = [n and n.packed() for n in map(read_name, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fields, pa.string())], names=["name", "fields"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fields, pa.string())], names=["name", "rows", "fields"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -364,27 +370,36 @@ def link_names(spellings: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     # spellings of equal fields are one class until the pairs are formed
-    members = settle(names.mapInArrow(read, "name string, fields string").where("fields is not null"), "name-fields")
-    classes = members.groupBy("fields").agg((F.count("*") == 1).alias("single"))
+    members = settle(names.mapInArrow(read, "name string, rows bigint, fields string").where("fields is not null"), "name-fields")
+    classes = members.groupBy("fields").agg((F.count("*") == 1).alias("single"), F.sum("rows").alias("rows"))
     keyed = settle(classes.select("fields").mapInArrow(index, "fields string, key string"), "name-keys")
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, F.expr("a.key = b.key and a.fields <= b.fields")).select(F.col("a.fields").alias("fields_a"), F.col("b.fields").alias("fields_b")).distinct()
-    same = pairs.mapInArrow(compare, pairs.schema)
+    same = settle(pairs.mapInArrow(compare, pairs.schema), "name-same")
 
     persons = settle(classes.select("fields").mapInArrow(initials, "fields string, surname string, first string"), "name-initials")
-    alone = persons.join(classes, "fields").groupBy("surname").agg((F.min("single") & (F.min("fields") == F.max("fields"))).alias("alone"))
     near = near_surnames(persons.select("surname").distinct())
-    near = near.join(alone.select(F.col("surname").alias("surname_a"), F.col("alone").alias("alone_a")), "surname_a").join(alone.select(F.col("surname").alias("surname_b"), F.col("alone").alias("alone_b")), "surname_b").where("alone_a or alone_b")
     left, right = (persons.select(F.col("fields").alias(f"fields_{x}"), F.col("surname").alias(f"surname_{x}"), "first") for x in "ab")
-    slips = near.join(left, "surname_a").join(right, ["surname_b", "first"]).select("fields_a", "fields_b").distinct()
-    linked = same.unionAll(slips.mapInArrow(compare, slips.schema))
+    slips = near.join(left, "surname_a").join(right, ["surname_b", "first"]).select("surname_a", "surname_b", "fields_a", "fields_b", "exchanged").distinct()
+    slips = settle(slips.mapInArrow(compare, slips.schema), "name-slips")
+    # of each surname: its classes, its rows, and whether two of its spellings agree
+    mine = persons.select("fields", "surname").distinct()
+    several = same.where("fields_a <> fields_b").select(F.col("fields_a").alias("fields")).unionAll(classes.where("not single").select("fields")).distinct().withColumn("several", F.lit(True))
+    facts = settle(mine.join(classes, "fields").join(several, "fields", "left").groupBy("surname").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.max(F.coalesce("several", F.lit(False))).alias("several")), "surname-facts")
+    linked = same
+    for slip, other in (("a", "b"), ("b", "a")):
+        s = facts.select(F.col("surname").alias(f"surname_{slip}"), F.col("classes").alias("c"), F.col("rows").alias("r"), F.col("several").alias("v"))
+        o = facts.select(F.col("surname").alias(f"surname_{other}"), F.col("rows").alias("t"))
+        pair = slips.groupBy("surname_a", "surname_b", "exchanged").agg(F.count_distinct(f"fields_{slip}").alias("agreeing"))
+        pair = pair.join(s, f"surname_{slip}").join(o, f"surname_{other}").where(f"agreeing = c and (not v or r * if(exchanged, 1, {RARER}) <= t)")
+        linked = linked.unionAll(slips.join(pair.select("surname_a", "surname_b"), ["surname_a", "surname_b"], "left_semi").select("fields_a", "fields_b"))
     x, y = (members.select(F.col("fields").alias(f"fields_{k}"), F.col("name").alias(f"_{k}")) for k in "ab")
     both = linked.join(x, "fields_a").join(y, "fields_b").where("fields_a <> fields_b or _a < _b")
     return both.select(F.least("_a", "_b").alias("name_a"), F.greatest("_a", "_b").alias("name_b")).distinct()
 
 
 def near_surnames(surnames: DataFrame) -> DataFrame:
-    """(surname_a, surname_b): different surnames one slip apart, every pair of them.
+    """(surname_a, surname_b, exchanged): different surnames one slip apart, every pair of them, and whether the slip exchanged two letters.
 
     Two such surnames are equal with at most one letter left out of each, so
     these forms join.  A form is shared by no more surnames than there are
@@ -401,10 +416,11 @@ def near_surnames(surnames: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [surname_error(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_()))
+            two = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            exchanged = pa.array([sorted(x) == sorted(y) for x, y in two], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), exchanged], names=["surname_a", "surname_b", "exchanged"]).filter(pa.array([surname_error(x, y) for x, y in two], pa.bool_()))
 
     keyed = settle(surnames.where(F.length("surname") >= MIN_ERROR).mapInArrow(forms, "surname string, form string"), "surname-forms")
     a, b = keyed.select(F.col("surname").alias("surname_a"), "form"), keyed.select(F.col("surname").alias("surname_b"), "form")
     pairs = a.join(b, "form").where("surname_a < surname_b").select("surname_a", "surname_b").distinct()
-    return settle(pairs.mapInArrow(compare, pairs.schema), "near-surnames")
+    return settle(pairs.mapInArrow(compare, "surname_a string, surname_b string, exchanged boolean"), "near-surnames")

@@ -220,3 +220,16 @@ def test_repair_depends_on_ratios_alone():
         assert r.text == "the fracture of the soil-depth" and sorted(r.defects) == [("glyph", "fracture"), ("hyphen", "soil-depth")]
     large = {w: n * 1000 for w, n in {"soil": 60, "depth": 60, "the": 25_000_000}.items()}  # rare by share, frequent by count
     assert scan_repair.repair("the soil-\ndepth", f, scan_repair.Vocabulary(large)).text == "the soildepth"
+
+
+def test_slips_stay_linked_when_rows_are_added(spark):
+    def links(names):
+        return {tuple(r) for r in name_links.link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+
+    right = ["Gabriele Nedolov", "Nedolov, G."] * 3 + ["Gabriele Haldovik", "William Haldovik", "Haldovik, W."] * 30 + ["Dolores Homoquist", "Homoquist D"] * 3
+    wrong = ["Gabriele Nedloov", "Gabriele Haldoik"]
+    want = {("Gabriele Nedloov", "Gabriele Nedolov"), ("Gabriele Haldoik", "Gabriele Haldovik")}
+    assert want <= links(right + wrong)
+    more = links([*right, *wrong, "Nedloov, G.", "William Haldoik", "Haldoik, W.", "Dolores Horoquist", "Horoquist D"])
+    assert want | {("Nedloov, G.", "Nedolov, G."), ("Haldoik, W.", "William Haldovik"), ("William Haldoik", "William Haldovik")} <= more
+    assert not any("Horoquist" in a + b and "Homoquist" in a + b for a, b in more)
