@@ -275,7 +275,7 @@ def label_documents(parsed: DataFrame, prob: np.ndarray, *, path: str = VOCABULA
         for b in batches:
             out = []
             for row in b.to_pylist():
-                furniture = Furniture(row["title"], None)
+                furniture = Furniture(row["title"], None, [t for s in row["sections"] for t in (s or {}).get("paragraphs") or []])
                 units = []
                 for s in row["sections"]:
                     for n, t in enumerate((s or {}).get("paragraphs") or [], 1):

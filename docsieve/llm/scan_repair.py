@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 MIN_SHARE = 1e-6
 MIN_COUNT = 3
+MIN_HEADER = 16  # letters of a header that is known without the title
 ESTABLISHED = 4e-5  # of all occurrences: share of a word that stands on its own beside a hyphen
 RARER = 40  # a word of the vocabulary is taken for a misreading if a look-alike is so many times as frequent
 
@@ -188,14 +189,68 @@ def _distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+_CAPITALS = re.compile(r"[^\W\d_a-z][^\s.;]*")
+
+
+def _capital_runs(text: str) -> list[str]:
+    """Runs of at least three words in capitals (one misread digit a word) inside other text."""
+    runs, run = [], []
+    for token in [*text.split(), ""]:
+        word = token.strip("?!:,")
+        if _CAPITALS.fullmatch(word) and word == word.upper() and sum(c.isdigit() for c in word) <= 1:
+            run.append(token)
+            continue
+        if len(run) >= 3 and len(_fold("".join(run))) >= MIN_HEADER and sum(len(w) >= 4 for w in run) >= 2:
+            runs.append(" ".join(run))
+        run = []
+    return runs
+
+
+def headers_in(texts: list[str | None]) -> list[str]:
+    """Running headers that a document shows without its title: lines and runs in capitals, lines that
+    recur where they interrupt a sentence or stand beside a page number, lines inside a broken word."""
+    sure, maybe = [], []
+    for t in texts:
+        if not t or t == t.upper():
+            continue
+        lines = [x for x in map(str.strip, t.split("\n")) if x]
+        for i, line in enumerate(lines):
+            bare = re.sub(r"^\d{1,4}\s+|\s+\d{1,4}$", "", line)
+            if len(lines) == 1 or bare == bare.upper():
+                sure += _capital_runs(line)
+                continue
+            if len(bare.split()) < 3 or len(_fold(bare)) < MIN_HEADER or not bare[0].isupper() or re.search(rf"[.;]\s|[{HYPHENS}.,;:]$", bare):
+                continue
+            before = next((x for x in reversed(lines[:i]) if not _PAGE_NO.fullmatch(x)), ".")
+            after = next((x for x in lines[i + 1 :] if not _PAGE_NO.fullmatch(x)), "")
+            inside = before[-1] not in ".!?:" and after[:1].islower()
+            if inside and before[-1] in HYPHENS:
+                sure.append(bare)
+            elif inside or any(_PAGE_NO.fullmatch(x) for x in lines[max(0, i - 1) : i + 2]):
+                maybe.append(bare)
+    out: list[str] = []
+    for line, alone in [(x, False) for x in sure] + [(x, True) for x in maybe]:
+        f = _fold(line)
+        limit = max(1, len(f) // 8)
+        if any(_distance(f, _fold(x), limit) <= limit for x in out):
+            continue
+        if not alone or sum(_distance(f, _fold(x), limit) <= limit for x in maybe) >= 2:
+            out.append(line)
+    return out
+
+
 class Furniture:
-    """The running headers of one document."""
+    """The running headers of one document; without a title, those that its ``texts`` show."""
 
-    def __init__(self, title: str | None, authors: list[str] | None) -> None:
+    def __init__(self, title: str | None, authors: list[str] | None, texts: list[str | None] | None = None) -> None:
         self.forms: list[str] = []
         if title and len(_fold(title)) >= 8:
             parts = {title, re.split(r"[:?.]\s", title)[0], title.split(":")[0]}
             self.forms = sorted({f for p in parts if len(f := _fold(p)) >= 8}, key=len, reverse=True)
+        elif texts:
+            found = headers_in(texts)
+            self.forms = sorted({_fold(h) for h in found}, key=len, reverse=True)
+            title = " ".join(found)
         self.names = {_fold(w) for a in authors or [] if a for w in re.findall(r"[^\W\d_][\w'’-]+", a)}
         self.title_words = re.findall(r"[^\W_]+", title or "")
         long = {w for w in self.title_words if len(w) >= 6}
@@ -402,7 +457,7 @@ def repair_documents(parsed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 places = [(0, 0, row["abstract"], None)] + [(s["ordinal"], i, p["text"] if p else None, p["page"] if p else None) for s in row["sections"] if s for i, p in enumerate(s["paragraphs"], 1)]
                 if not scanned([t for _, _, t, _ in places]):
                     continue
-                furniture = Furniture(row["title"], row["authors"])
+                furniture = Furniture(row["title"], row["authors"], [t for _, _, t, _ in places])
                 local = Counter(w for _, _, t, _ in places if t for w in _WORD.findall(t.lower()))
                 numbers = {p + d for *_, p in places if p is not None for d in (-1, 0, 1, 2)}
                 for s, n, t, page in places:

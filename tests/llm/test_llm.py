@@ -233,3 +233,13 @@ def test_slips_stay_linked_when_rows_are_added(spark):
     more = links([*right, *wrong, "Nedloov, G.", "William Haldoik", "Haldoik, W.", "Dolores Horoquist", "Horoquist D"])
     assert want | {("Nedloov, G.", "Nedolov, G."), ("Haldoik, W.", "William Haldovik"), ("William Haldoik", "William Haldovik")} <= more
     assert not any("Horoquist" in a + b and "Homoquist" in a + b for a, b in more)
+
+
+def test_headers_without_a_title():
+    texts = ["the samples were\nUnbiased membrane simulation in systems\n- 7 -\ncollected near the", "water and\nUnbiased membrane sirnulation in systems\n- 8 -\nagain measured", "the water ON THE CALIBRATION OF ORGANIC RESP0NDENTS was measured", "Dr LUND met the NATO and WHO UN teams near water."]
+    f = scan_repair.Furniture(None, None, texts)
+    v = scan_repair.Vocabulary({w: 500 for w in "the samples were collected near water and again measured".split()})
+    got = [scan_repair.repair(t, f, v) for t in texts]
+    assert [[i for k, i in r.defects if k == "header"] for r in got] == [["Unbiased membrane simulation in systems"], ["Unbiased membrane sirnulation in systems"], ["ON THE CALIBRATION OF ORGANIC RESP0NDENTS"], []]
+    assert got[0].text == "the samples were collected near the" and got[2].text == "the water was measured"
+    assert scan_repair.headers_in(["Brüche wurden\nin Abbildung gezeigt und\nberechnet", None, ""]) == []
