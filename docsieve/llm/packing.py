@@ -5,11 +5,13 @@
 2. The histogram of lengths (at most ``capacity`` rows, whatever the corpus)
    goes to the driver.  Dynamic programming over it chooses the length buckets
    that minimise padding.
-3. Token-budget batches form bucket by bucket, longest first: a container is
-   opened for the longest items of its bucket and takes as many as its budget
-   holds; what is then left of the budget is topped up from shorter lengths,
-   fullest container first.  Containers of one make-up are handled as a range,
-   so this works on the histogram and costs the same for any corpus.
+3. Containers are filled by best fit over decreasing lengths: an item goes into
+   the fullest container that has room for it, whatever its bucket, and opens a
+   new one otherwise.  This replaced batches within one bucket, which leave the
+   rest of a container unused; the buckets don't change the containers, they
+   only label each with the bucket of the length that opened it.  Containers
+   of one make-up are handled as a range, so this works on the histogram and
+   costs the same for any corpus.
 4. Items get their place by their number within their length.  Numbers come
    from salted windows plus offsets, so a length that a third of the corpus
    shares is numbered by many tasks.
