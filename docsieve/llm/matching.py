@@ -4,25 +4,30 @@ A deterministic cascade of exact joins, each on a weaker combination of
 attributes than the one before; records that a pass resolves leave the next
 passes by an anti-join.
 
-1. title and pages      2. title, year (one off at most) and a name
+1. title and pages
+2. title, year (one off at most) and a name
 3. title and one of year or name, or title where the rest is missing
 4. pages, year and a name, the titles alike
-5. title with one or two words damaged or missing, with pages, name or year
+5. title with up to two words damaged or missing, with pages, name or year
 
 Titles are compared as word sequences without case, accents and punctuation;
 the part of a series and marks such as "Correction to" are kept apart and must
-agree.  Damaged words are joined exactly on the hash of the title with up to
-two words left out; an exact check of the differing words follows.
+agree.  Titles that share all but two of their words share one of the three
+rarest words of each, so pass 5 joins exactly on those: rare by the catalogue's
+own counts, hence no word of many titles.  A title of which more than two words
+stand nowhere in the catalogue leaves before the join.  The differing words are
+checked afterwards.
 
 The confidence of a rule is its labelled precision with smoothing,
-``(agreeing + 1) / (labelled + 2)``: a match is labelled by an attribute that
-its rule didn't use for the join, the pages, where both records state them
-(rule 1 and 4: the year).  Catalogue records of one work are found by the same
-keys and all count.
+``(agreeing + 1) / (labelled + 2)``.  A match is labelled by the container
+(journal), which no rule uses: its words must begin alike, so abbreviations
+agree.  Where one side states none, the match has no label.  Catalogue records
+of one work are found by title and a further attribute, and all count.
 
 Defined results: a citation without a usable title is matched by its raw text
-alone; null attributes neither support nor contradict; repeated rows of a
-reference give one row; an empty side gives no rows.
+alone; records without a title have no twins and match nothing; null attributes
+neither support nor contradict; repeated rows of a reference give one row; an
+empty side gives no rows; without labels a rule's confidence is 0.5.
 """
 
 from __future__ import annotations
@@ -30,16 +35,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.sources.settle import settle
 
-BROADCAST_ROWS = 200_000  # a catalogue up to this size is sent to the executors, a larger one is shuffled
+BROADCAST_ROWS = 200_000  # rows of a written list up to which it is sent to the executors; counted on what is sent
+DIFFERING = 2  # words of a title that may be damaged or missing
 
 # What may lead or end a title without being part of it, and what marks another work.
 NOISE = ["technical report", "research article", "original article", "review article", "article", "preprint", "online first", "working paper", "full text", "abstract", "in press"]
@@ -50,12 +55,22 @@ _NOISE_END = re.compile(rf" (?:{'|'.join(NOISE)})$")
 _MARK_START = re.compile(rf"^({'|'.join(sorted(MARKS, key=len, reverse=True))}) ")
 
 
+_ASCII_WORDS = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[^\W_]+")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐­¬]\s+(?=[a-z])")
+_COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + "]+")
+_ET_AL = re.compile(r"\bet\.? al|等|and others|u\. ?a\.")
+
+
 def fold(text: str | None) -> str:
     """Lower case, no accents, words separated by one space."""
-    t = unicodedata.normalize("NFKD", (text or "").replace("&", " and ").replace("ø", "o").replace("Ø", "O").replace("ß", "ss"))
-    t = re.sub(r"(?<=[^\W\d_])[-‐­¬]\s+(?=[a-z])", "", t)
-    t = "".join(c for c in t.lower() if not unicodedata.combining(c))
-    return " ".join(re.findall(r"[^\W_]+", t))
+    if not text:
+        return ""
+    if text.isascii():
+        t = text.replace("&", " and ")
+        return " ".join(_ASCII_WORDS.findall((_BROKEN.sub("", t) if "-" in t else t).lower()))
+    t = unicodedata.normalize("NFKD", text.replace("&", " and ").replace("ø", "o").replace("Ø", "O").replace("ß", "ss"))
+    return " ".join(_WORDS.findall(_COMBINING.sub("", _BROKEN.sub("", t).lower())))
 
 
 def read_title(title: str | None) -> tuple[str, str]:
@@ -124,24 +139,15 @@ def raw_year(raw: str | None) -> int | None:
     return year_of(re.sub(r"\d+\s*[-–—]\s*\d+", " ", re.sub(r"^\s*\[\d+\]", "", raw or "")))
 
 
-def names_in(*texts: str | None) -> list[str]:
-    return sorted({w for t in texts for w in fold(t).split() if len(w) >= 4 and not w.isdigit()})
+def names_in(folded: str) -> list[str]:
+    """The words of folded text that may be names."""
+    return sorted({w for w in folded.split() if len(w) >= 4 and not w.isdigit()})
 
 
 def h64(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def deletion_keys(base: str, mark: str, most: int = 2, least: int = 4) -> list[int]:
-    """Hashes of the title with up to ``most`` of its words left out, at least ``least`` kept."""
-    words = base.split()
-    keys = {h64(f"{mark}|{base}")}
-    for k in range(1, most + 1):
-        if len(words) - k >= least:
-            keys.update(h64(f"{mark}|{' '.join(words[i] for i in range(len(words)) if i not in gone)}") for gone in map(set, combinations(range(len(words)), k)))
-    return sorted(keys)
-
-
 def damerau(a: str, b: str, limit: int = 2) -> int:
     """Edit distance with transpositions, cut off above ``limit``."""
     if abs(len(a) - len(b)) > limit:
@@ -164,6 +170,8 @@ def damerau(a: str, b: str, limit: int = 2) -> int:
 def alike(left: str, right: str) -> bool:
     """Whether two titles differ only by damage: every differing word is a misspelling, or up to two are missing in one of them."""
     a, b = left.split(), right.split()
+    if not a or not b:
+        return False
     for w in list(a):
         if w in b:
             a.remove(w)
@@ -175,15 +183,16 @@ def alike(left: str, right: str) -> bool:
         if near is not None:
             a.remove(w)
             b.remove(near)
-    return (not a or not b) and len(a) + len(b) <= 2
+    return (not a or not b) and len(a) + len(b) <= DIFFERING
 
 
-_FEATURES = "base string, mark string, whole bigint, year int, pages string, names array<string>"
-_ARROW = [("base", pa.string()), ("mark", pa.string()), ("whole", pa.int64()), ("year", pa.int32()), ("pages", pa.string()), ("names", pa.list_(pa.string()))]
+_FEATURES = "base string, mark string, whole bigint, year int, pages string, names array<string>, venue string"
+_ARROW = [("base", pa.string()), ("mark", pa.string()), ("whole", pa.int64()), ("year", pa.int32()), ("pages", pa.string()), ("names", pa.list_(pa.string())), ("venue", pa.string())]
 
 
-def _batch(keys: pa.Array, key: str, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([keys, *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_ARROW)]], names=[key, *[n for n, _ in _ARROW]])
+def _batch(keys: pa.Array, key: str, rows: list[tuple], venue: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_ARROW[:-1])]
+    return pa.RecordBatch.from_arrays([keys, *columns, venue], names=[key, *[n for n, _ in _ARROW]])
 
 
 def reference_features(refs: DataFrame) -> DataFrame:
@@ -195,13 +204,13 @@ def reference_features(refs: DataFrame) -> DataFrame:
             for raw, title, authors, year in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 usable = title if title and "…" not in title and not title.rstrip().endswith("...") else (title_of(raw) or title)
                 base, mark = read_title(usable)
-                names = names_in(*[a for a in authors or [] if a], *([] if authors else [(raw or "")[:400]]))
-                if not authors or re.search(r"\bet\.? al|等|and others|u\. ?a\.", raw or ""):
-                    names = names_in(*[a for a in authors or [] if a], raw)
+                stated = " ; ".join([a for a in authors or [] if a])
+                names = names_in(fold(f"{stated} ; {raw or ''}" if not authors or _ET_AL.search(raw or "") else stated))
                 rows.append((base, mark, h64(f"{mark}|{base}"), year_of(raw_year(raw), year), pages_of(raw), names))
-            yield _batch(b.column(0), "reference_id", rows)
+            yield _batch(b.column(0), "reference_id", rows, b.column(5))
 
-    return refs.select(F.col("id").alias("reference_id"), "raw_citation", "title", "authors", "year").mapInArrow(read, f"reference_id string, {_FEATURES}")
+    venue = container_key(F.col("venue")) if "venue" in refs.columns else F.lit(None).cast("string")
+    return refs.select(F.col("id").alias("reference_id"), "raw_citation", "title", "authors", "year", venue.alias("venue")).mapInArrow(read, f"reference_id string, {_FEATURES}")
 
 
 def catalogue_features(works: DataFrame) -> DataFrame:
@@ -212,26 +221,23 @@ def catalogue_features(works: DataFrame) -> DataFrame:
             rows = []
             for title, creators, year, pages in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 base, mark = read_title(title)
-                rows.append((base, mark, h64(f"{mark}|{base}"), year, pages_of(pages), names_in(creators)))
-            yield _batch(b.column(0), "work_id", rows)
+                rows.append((base, mark, h64(f"{mark}|{base}"), year, pages_of(pages), names_in(fold(creators))))
+            yield _batch(b.column(0), "work_id", rows, b.column(5))
 
-    return works.select("work_id", "title", "creators", F.col("pub_year").cast("int"), "pages").mapInArrow(read, f"work_id bigint, {_FEATURES}")
+    venue = container_key(F.col("container")) if "container" in works.columns else F.lit(None).cast("string")
+    return works.select("work_id", "title", "creators", F.col("pub_year").cast("int"), "pages", venue.alias("venue")).mapInArrow(read, f"work_id bigint, {_FEATURES}")
 
 
-def _keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, k): the deletion keys of each record."""
-    kind = df.schema[key].dataType.simpleString()
+def container_key(name: Column) -> Column:
+    """The first three letters of each word of a container's name, small words left out; null for none."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}]+", " ")), " ")
+    heads = F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin("the", "and", "for", "der", "die", "das", "und", "für", "des", "del", "les")), lambda w: F.substr(w, F.lit(1), F.lit(3)))
+    return F.nullif(F.array_join(heads, " "), F.lit(""))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, keys = [], []
-            for i, (base, mark) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                found = deletion_keys(base, mark) if base else []
-                at += [i] * len(found)
-                keys += found
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64())], names=[key, "k"])
 
-    return df.select(key, "base", "mark").mapInArrow(explode, f"`{key}` {kind}, k bigint")
+def _near(df: DataFrame) -> DataFrame:
+    """A written list, sent to the executors if its rows, which are counted, allow; joined by a shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _check_titles(pairs: DataFrame) -> DataFrame:
@@ -245,55 +251,80 @@ def _check_titles(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(check, pairs.schema)
 
 
+def _rare_words(titles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(whole, base, mark, n, word): of each title the words that a title sharing all but DIFFERING of them must hold one of."""
+    words = titles.select("whole", "base", "mark", F.array_distinct(F.split("base", " ")).alias("_w"))
+    known = words.select("whole", "base", "mark", F.size("_w").alias("n"), F.explode("_w").alias("word")).join(counts, "word")
+    ranked = known.groupBy("whole", "base", "mark", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("_k"))  # at most the words of one title
+    kept = ranked.withColumn("_most", F.size("_k") - F.col("n") + DIFFERING + 1).where("_most > 0")
+    return kept.select("whole", "base", "mark", "n", F.explode(F.slice("_k", F.lit(1), F.col("_most"))).alias("k")).select("whole", "base", "mark", "n", "k.word")
+
+
+def damaged_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(whole, c_whole): pairs of different titles of one mark that differ only by damage in up to DIFFERING words.
+
+    Titles are one class first, so a title of many records is compared once.
+    """
+    mine, theirs = (df.where("base <> ''").select("whole", "base", "mark").distinct() for df in (left, right))
+    theirs = settle(theirs, "match-titles")
+    counts = settle(theirs.select(F.explode(F.array_distinct(F.split("base", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "match-words")
+    counts = _near(counts)
+    keys = settle(_rare_words(theirs, counts), "match-keys").toDF("c_whole", "c_base", "c_mark", "c_n", "word")
+    both = _rare_words(mine, counts).join(_near(keys), "word").where("mark = c_mark and whole <> c_whole and abs(n - c_n) <= " + str(DIFFERING))
+    common = F.size(F.array_intersect(F.split("base", " "), F.split("c_base", " ")))
+    close = both.where(common >= F.greatest("n", "c_n") - DIFFERING).select("whole", "base", "c_whole", "c_base").distinct()
+    return _check_titles(close).select("whole", "c_whole")
+
+
 def match_records(refs: DataFrame, works: DataFrame) -> DataFrame:
     """(reference_id, work_id, rule, confidence): all matches of the cascade."""
-    left = settle(reference_features(refs).distinct(), "match-references")
+    left = settle(reference_features(refs), "match-references")
     right = settle(catalogue_features(works).distinct(), "match-works")
-    small = right.count() <= BROADCAST_ROWS
-
-    def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df  # checked size
-
-    c = right.select("work_id", *[F.col(n).alias(f"c_{n}") for n, _ in _ARROW])
+    c = _near(right.select("work_id", *[F.col(n).alias(f"c_{n}") for n, _ in _ARROW]))
     year = F.coalesce(F.abs(F.col("year") - F.col("c_year")) <= 1, F.lit(False))
     year_against = F.coalesce(F.abs(F.col("year") - F.col("c_year")) > 1, F.lit(False))
     name = F.coalesce(F.arrays_overlap("names", "c_names"), F.lit(False))
     names_missing = (F.size("names") == 0) | (F.size("c_names") == 0)
     pages = F.coalesce(F.col("pages") == F.col("c_pages"), F.lit(False))
+    same_pages = F.col("pages") == F.col("c_pages")  # as an equation, so it is a key of the join
     titled = (F.col("whole") == F.col("c_whole")) & (F.col("base") != "")
-    keep = ["reference_id", "work_id", "year", "c_year", "pages", "c_pages"]
 
     def damaged(rest: DataFrame) -> DataFrame:
-        works_by_key = near(_keys(right, "work_id"))
-        pairs = _keys(rest, "reference_id").join(works_by_key, "k").select("reference_id", "work_id").distinct()
-        both = pairs.join(rest, "reference_id").join(near(c), "work_id").where(F.col("mark") == F.col("c_mark"))
-        return _check_titles(both.where(pages | name | year).where(~year_against | pages))
+        pairs = settle(damaged_titles(rest, right), "match-damaged")
+        both = rest.join(_near(pairs), "whole").join(c, "c_whole")
+        return both.where(pages | name | year).where(~year_against | pages)
 
     passes = [
-        lambda rest: rest.join(near(c), titled & pages),
-        lambda rest: rest.join(near(c), titled & year & name),
-        lambda rest: rest.join(near(c), titled & (year | (name & ~year_against) | (~year_against & names_missing))),
-        lambda rest: _check_titles(rest.join(near(c), (F.col("pages") == F.col("c_pages")) & year & name & (F.col("mark") == F.col("c_mark")))),
+        lambda rest: rest.join(c, titled & same_pages),
+        lambda rest: rest.join(c, titled & year & name),
+        lambda rest: rest.join(c, titled & (year | (name & ~year_against) | (~year_against & names_missing))),
+        lambda rest: _check_titles(rest.join(c, same_pages & (F.col("mark") == F.col("c_mark")) & year & name)),
         damaged,
     ]
+    label = F.col("venue") == F.col("c_venue")
     rest, found = left, None
     for number, step in enumerate(passes, 1):
-        hits = settle(step(rest).select(*keep, F.lit(number).alias("rule")).distinct(), f"match-pass{number}")
+        hits = settle(step(rest).select("reference_id", "work_id", label.alias("label"), F.lit(number).alias("rule")).distinct(), f"match-pass{number}")
         found = hits if found is None else found.unionByName(hits)
         if number < len(passes):
             rest = rest.join(hits.select("reference_id").distinct(), "reference_id", "left_anti")
-    label = F.when(F.col("rule").isin(1, 4), F.when(F.col("year").isNotNull() & F.col("c_year").isNotNull(), year)).otherwise(F.when(F.col("pages").isNotNull() & F.col("c_pages").isNotNull(), pages))
-    precision = found.groupBy("rule").agg(((F.count_if(label) + 1) / (F.count(label) + 2)).alias("confidence"))  # one row a rule
-    twins = _same_work(right)
-    matched = found.select("reference_id", "work_id", "rule").join(near(twins), "work_id").select("reference_id", F.col("twin_id").alias("work_id"), "rule")
+    precision = found.groupBy("rule").agg(((F.count_if("label") + 1) / (F.count("label") + 2)).alias("confidence"))  # one row a rule
+    twins = _near(settle(same_work(right), "match-twins"))
+    matched = found.select("reference_id", "work_id", "rule").join(twins, "work_id").select("reference_id", F.col("twin_id").alias("work_id"), "rule")
     best = matched.groupBy("reference_id", "work_id").agg(F.min("rule").alias("rule"))
     return best.join(F.broadcast(precision), "rule").select("reference_id", "work_id", "rule", F.round("confidence", 6).alias("confidence"))
 
 
-def _same_work(works: DataFrame) -> DataFrame:
-    """(work_id, twin_id): catalogue records of the same work, each with itself."""
-    a = works.select("work_id", "whole", "year", "pages", "names")
+def same_work(works: DataFrame) -> DataFrame:
+    """(work_id, twin_id): catalogue records of the same work, each with itself.
+
+    Twins have one title, contradict each other in nothing and agree in the
+    year, the pages or a name; without a title a record is its only twin.
+    """
+    a = works.select("work_id", "base", "whole", "year", "pages", "names")
     b = works.select(F.col("work_id").alias("twin_id"), F.col("whole").alias("t_whole"), F.col("year").alias("t_year"), F.col("pages").alias("t_pages"), F.col("names").alias("t_names"))
-    same = (F.col("whole") == F.col("t_whole")) & F.coalesce(F.abs(F.col("year") - F.col("t_year")) <= 1, F.lit(True)) & F.coalesce(F.col("pages") == F.col("t_pages"), F.lit(True))
-    names = (F.size("names") == 0) | (F.size("t_names") == 0) | F.arrays_overlap("names", "t_names")
-    return a.join(b, same & names).select("work_id", "twin_id").union(works.select("work_id", F.col("work_id").alias("twin_id"))).distinct()
+    year, pages = F.abs(F.col("year") - F.col("t_year")) <= 1, F.col("pages") == F.col("t_pages")
+    unnamed, named = (F.size("names") == 0) | (F.size("t_names") == 0), F.arrays_overlap("names", "t_names")
+    same = (F.col("whole") == F.col("t_whole")) & (F.col("base") != "") & F.coalesce(year, F.lit(True)) & F.coalesce(pages, F.lit(True)) & (unnamed | named)
+    known = F.coalesce(year, F.lit(False)) | F.coalesce(pages, F.lit(False)) | F.coalesce(named, F.lit(False))
+    return a.join(b, same & known).select("work_id", "twin_id").union(works.select("work_id", F.col("work_id").alias("twin_id"))).distinct()

@@ -66,8 +66,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(reference_id, work_id, rule, confidence): the same with the rule that matched and its precision."""
-    refs = table(spark, sf_dir, "reference_sources", "id", "raw_citation", "title", "authors", "year")
-    return match_records(refs, table(spark, sf_dir, "catalog_works", "work_id", "title", "creators", "pub_year", "pages"))
+    refs = table(spark, sf_dir, "reference_sources", "id", "raw_citation", "title", "authors", "year", "venue")
+    return match_records(refs, table(spark, sf_dir, "catalog_works", "work_id", "title", "creators", "pub_year", "container", "pages"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
