@@ -13,6 +13,11 @@ most probable one over all its sections; a paragraph is foreign in a language
 if at least one full sentence is.  Confidence is the posterior probability
 under equal priors, tempered by ``TEMPER`` because words aren't independent.
 
+Text in none of ``LANGUAGES`` is ``other``: its words score ``UNLIKE`` standard
+deviations a word below what words of their length score in the best language,
+and the whole text ``UNLIKE_TEXT`` of its own.  What words of a length score is
+learned from the sample too.  ``other`` is no case of a wrong label.
+
 Defined results: null, empty or wordless texts have no language (null, 0.0);
 labels are read in any notation (ISO codes, regional forms, names); an unknown
 label counts as missing; rows that repeat a document give one result.
@@ -24,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,10 @@ from docsieve.llm.scan_repair import Furniture
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LANGUAGES = ("en", "de", "fr", "es", "pt", "zh")
+OTHER = "other"
 SAMPLE_DOCUMENTS = 1500  # labelled documents the model is fitted on, the smallest by hash
+UNLIKE = 2.75  # standard deviations a word below the expected score at which a text is in none of LANGUAGES
+UNLIKE_TEXT = 8.0  # the same for the whole text, so a few odd words don't count
 MIN_MARGIN = 6.0  # natural log by which a sentence must favour another language
 MIN_LETTERS = 25  # letters in a full sentence; ideographs count as MIN_LETTERS / 8
 TEMPER = 0.2
@@ -161,13 +170,24 @@ def fit(counts: dict[str, Counter], vocab: Pieces, rounds: int = 2, floor: float
     return prob
 
 
+class Fitted(NamedTuple):
+    """Piece probabilities (piece, language), and mean and variance of the scores of words by length (length, language)."""
+
+    prob: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+
+
 class Model:
-    """Piece probabilities with a memory of word scores."""
+    """Piece probabilities with a memory of word scores: log-probability, its mean and its variance, each by language."""
 
-    def __init__(self, prob: np.ndarray, path: str) -> None:
-        self.prob, self.path = prob, path
+    def __init__(self, fitted: Fitted | np.ndarray, path: str) -> None:
+        if not isinstance(fitted, Fitted):
+            fitted = Fitted(fitted, np.zeros((2, fitted.shape[1])), np.ones((2, fitted.shape[1])))
+        self.fitted, self.path = fitted, path
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, prob.shape[1]))
+        self.k = fitted.prob.shape[1]
+        self.scores = np.zeros((1024, 3 * self.k))
 
     def word_rows(self, words: list[str]) -> list[int]:
         rows, out = self.rows, []
@@ -180,15 +200,52 @@ class Model:
                 r = len(rows)
                 if r >= len(self.scores):
                     self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[r] = forward(w, pieces(self.path), self.prob)
+                n = min(len(w), len(self.fitted.mean) - 1)
+                self.scores[r] = np.concatenate([forward(w, pieces(self.path), self.fitted.prob), self.fitted.mean[n], self.fitted.variance[n]])
                 rows[w] = r
             out.append(r)
         return out
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability of the words in each language."""
+        return self.sums(words)[: self.k]
+
+    def sums(self, words: list[str]) -> np.ndarray:
         rows = self.word_rows(words)
-        return self.scores[rows].sum(axis=0) if rows else np.zeros(self.prob.shape[1])
+        return self.scores[rows].sum(axis=0) if rows else np.zeros(3 * self.k)
+
+    def likeness(self, sums: np.ndarray, at: int, n: int) -> tuple[float, float]:
+        """How far a text of ``n`` words lies above what its words would score in language ``at``: in standard deviations a word, and of the text."""
+        z = float((sums[at] - sums[self.k + at]) / np.sqrt(max(sums[2 * self.k + at], 1.0)))
+        return z / np.sqrt(max(n, 1)), z
+
+    def unlike(self, sums: np.ndarray, at: int, n: int) -> bool:
+        word, text = self.likeness(sums, at, n)
+        return word < -UNLIKE and text < -UNLIKE_TEXT
+
+
+def by_length(counts: dict[str, Counter], prob: np.ndarray, path: str) -> Fitted:
+    """The model with mean and variance of word scores by length in each language; sparse lengths take the nearest filled one."""
+    k = len(LANGUAGES)
+    n, total, square = np.zeros((MAX_WORD + 1, k)), np.zeros((MAX_WORD + 1, k)), np.zeros((MAX_WORD + 1, k))
+    model = Model(prob, path)
+    for j, lang in enumerate(LANGUAGES):
+        words = list(counts[lang])
+        rows = model.word_rows(words)
+        x = model.scores[rows, j]
+        c = np.array([counts[lang][w] for w in words], np.float64)
+        at = np.minimum(np.array([len(w) for w in words], np.int64), MAX_WORD)
+        np.add.at(n[:, j], at, c), np.add.at(total[:, j], at, c * x), np.add.at(square[:, j], at, c * x * x)
+    mean, variance = np.zeros_like(n), np.full_like(n, 100.0)
+    for j in range(k):
+        filled = np.flatnonzero(n[:, j] >= 20)
+        if len(filled):
+            nearest = filled[np.abs(np.arange(MAX_WORD + 1)[:, None] - filled[None, :]).argmin(axis=1)]
+            m = total[nearest, j] / n[nearest, j]
+            # beyond the filled lengths a word's score falls with each letter
+            mean[:, j] = m * np.maximum(1.0, np.arange(MAX_WORD + 1) / nearest)
+            variance[:, j] = np.maximum(square[nearest, j] / n[nearest, j] - m * m, 1.0)
+    return Fitted(prob, mean, variance)
 
 
 def confidence(scores: np.ndarray, at: int) -> float:
@@ -200,20 +257,23 @@ def confidence(scores: np.ndarray, at: int) -> float:
 _TEXTS = "transform(coalesce(sections, array()), s -> struct(s.ordinal as ordinal, transform(coalesce(s.paragraphs, array()), p -> p.text) as paragraphs))"
 
 
-def fit_model(parsed: DataFrame, *, path: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> np.ndarray:
-    """Fit on the ``sample`` labelled documents with the smallest hash, then drop the wrongly labelled ones and fit again."""
-    rows = (
-        parsed.where("language is not null and trim(language) <> ''")
-        .select("id", "language", F.xxhash64("id").alias("_h"), F.expr("array_join(flatten(transform(coalesce(sections, array()), s -> transform(coalesce(s.paragraphs, array()), p -> p.text))), ' ')").alias("t"))
-        .orderBy("_h", "id")
-        .limit(sample)
-        .collect()
-    )
+def fit_model(parsed: DataFrame, *, path: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> Fitted:
+    """Fit on the ``sample`` labelled documents with the smallest hash, then drop the wrongly labelled ones and fit again.
+
+    A threshold on the hash, from the number of labelled rows, leaves a little
+    more than the sample before any text is read; so as many texts are sorted
+    and sent to the driver, however many documents and partitions there are.
+    """
+    labelled = parsed.where("language is not null and trim(language) <> ''").withColumn("_h", F.expr("pmod(xxhash64(id), 1099511627776)"))
+    total = labelled.select("id").count()
+    least = 1 << 40 if total <= 2 * sample else int((1 << 40) * 1.25 * sample / total)
+    text = F.expr("array_join(flatten(transform(coalesce(sections, array()), s -> transform(coalesce(s.paragraphs, array()), p -> p.text))), ' ')")
+    rows = labelled.where(F.col("_h") < least).select("id", "language", "_h", text.alias("t")).orderBy("_h", "id").limit(sample).collect()
     docs = [(lang, [Counter(split_words(x)) for x in sentences(_BROKEN.sub("", r.t or ""))]) for r in rows if (lang := read_label(r.language))]
     return fit_sentences(docs, path)
 
 
-def fit_sentences(docs: list[tuple[str, list[Counter]]], path: str) -> np.ndarray:
+def fit_sentences(docs: list[tuple[str, list[Counter]]], path: str) -> Fitted:
     """Fit by the documents' labels, relabel documents and their sentences, fit again.
 
     Languages of different scripts aren't mixed: ideographs count for Chinese, letters for the others.
@@ -237,12 +297,12 @@ def fit_sentences(docs: list[tuple[str, list[Counter]]], path: str) -> np.ndarra
             for c in units:
                 ws = list(c)
                 at = model.word_rows(ws)
-                sums.append((model.scores[at] * np.array([c[w] for w in ws])[:, None]).sum(axis=0) if ws else np.zeros(len(LANGUAGES)))
+                sums.append((model.scores[at, : len(LANGUAGES)] * np.array([c[w] for w in ws])[:, None]).sum(axis=0) if ws else np.zeros(len(LANGUAGES)))
             if units:
                 prior = np.zeros(len(LANGUAGES))
                 prior[int(np.sum(sums, axis=0).argmax())] = MIN_MARGIN
                 labels[k] = [LANGUAGES[int((x + prior).argmax())] for x in sums]
-    return prob
+    return by_length(counts, prob, path)
 
 
 def sentences(text: str) -> list[str]:
@@ -259,18 +319,19 @@ def clean_lines(text: str, furniture: Furniture) -> str:
     return _BROKEN.sub("", text)
 
 
-def label_documents(parsed: DataFrame, prob: np.ndarray, *, path: str = VOCABULARY) -> DataFrame:
+def label_documents(parsed: DataFrame, fitted: Fitted, *, path: str = VOCABULARY) -> DataFrame:
     """(document_id, label, lang, confidence, segments): the main language of each document and its foreign segments.
 
     A segment is a maximal run of sentences of one other language in a
     paragraph: (section_no, paragraph_no, lang, confidence, text).
     """
-    sent = parsed.sparkSession.sparkContext.broadcast(prob.astype(np.float64))  # size of the fixed vocabulary
+    sent = parsed.sparkSession.sparkContext.broadcast(tuple(fitted))  # size of the fixed vocabulary
     seg = "array<struct<section_no:int,paragraph_no:int,lang:string,confidence:double,text:string>>"
     kept: dict[str, Model] = {}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept.get("m") or Model(sent.value, path)
+        model = kept.get("m") or Model(Fitted(*sent.value), path)
+        k = model.k
         kept["m"] = model
         for b in batches:
             out = []
@@ -295,23 +356,27 @@ def label_documents(parsed: DataFrame, prob: np.ndarray, *, path: str = VOCABULA
                     at += len(u[3])
                 total = np.sum(sums, axis=0)
                 # the main language is the one of most of the text, not of the strongest sentence
-                votes = np.zeros(len(LANGUAGES))
-                for u, s in zip(units, sums, strict=True):
+                votes, best = np.zeros(k), [int(s[:k].argmax()) for s in sums]
+                for u, j in zip(units, best, strict=True):
                     if u[3]:
-                        votes[int(s.argmax())] += _letters(u[3])
-                main = int(votes.argmax()) if votes.max() > 0.6 * votes.sum() else int(total.argmax())
+                        votes[j] += _letters(u[3])
+                main = int(votes.argmax()) if votes.max() > 0.6 * votes.sum() else int(total[:k].argmax())
+                mine = [(s, len(u[3])) for u, s, j in zip(units, sums, best, strict=True) if j == main]
+                own, n = np.sum([s for s, _ in mine], axis=0), sum(x for _, x in mine)
+                unlike = bool(mine) and model.unlike(own, main, n)
                 segments: list[list] = []
-                for u, s in zip(units, sums, strict=True):
-                    k = int(s.argmax())
-                    if k != main and s[k] - s[main] >= MIN_MARGIN and _letters(u[3]) >= MIN_LETTERS:
+                for u, s, j in zip(units, sums, best, strict=True):
+                    if _letters(u[3]) >= MIN_LETTERS and (s[j] - s[main] >= MIN_MARGIN if j != main and not unlike else unlike and model.likeness(s, j, len(u[3]))[0] > -UNLIKE / 2):
                         last = segments[-1] if segments else None
-                        if last and last[0] == u[0] and last[1] == u[1] and last[2] == k and last[5]:
-                            last[3], last[4] = last[3] + s, last[4] + " " + u[2]
+                        if last and last[0] == u[0] and last[1] == u[1] and last[2] == j and last[6]:
+                            last[3], last[4], last[5] = last[3] + s, last[4] + len(u[3]), last[5] + " " + u[2]
                         else:
-                            segments.append([u[0], u[1], k, s, u[2], True])
+                            segments.append([u[0], u[1], j, s, len(u[3]), u[2], True])
                     elif segments:
-                        segments[-1][5] = False
-                out.append((row["id"], row["language"], LANGUAGES[main], confidence(total, main), [{"section_no": a, "paragraph_no": p, "lang": LANGUAGES[k], "confidence": confidence(s, k), "text": t} for a, p, k, s, t, _ in segments]))
+                        segments[-1][6] = False
+                found = [{"section_no": a, "paragraph_no": p, "lang": OTHER if model.unlike(s, j, c) else LANGUAGES[j], "confidence": confidence(s[:k], j), "text": t} for a, p, j, s, c, t, _ in segments]
+                sure = float(1.0 / (1.0 + np.exp(max(model.likeness(own, main, n)[0] + UNLIKE, -500.0)))) if unlike else confidence(total[:k], main)
+                out.append((row["id"], row["language"], OTHER if unlike else LANGUAGES[main], sure, found))
             kind = pa.list_(pa.struct([("section_no", pa.int32()), ("paragraph_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.string(), pa.string(), pa.string(), pa.float64(), kind])], names=["document_id", "label", "lang", "confidence", "segments"])
 
@@ -329,7 +394,7 @@ def language_cases(labelled: DataFrame) -> DataFrame:
     norm = F.lower(F.trim(F.regexp_replace("label", "_", "-")))
     said = F.coalesce(F.try_element_at(notation, norm), F.try_element_at(notation, F.split(norm, r"[-\s(]")[0]))
     entry = "array<struct<section_no:int,paragraph_no:int,lang:string>>"
-    wrong = F.col("lang").isNotNull() & (said.isNull() | (said != F.col("lang")))
+    wrong = F.col("lang").isin(*LANGUAGES) & (said.isNull() | (said != F.col("lang")))
     whole = F.when(wrong, F.array(F.struct(F.lit(0).alias("section_no"), F.lit(0).alias("paragraph_no"), F.col("lang").alias("lang")))).otherwise(F.array()).cast(entry)
-    parts = F.transform("segments", lambda s: F.struct(s["section_no"].alias("section_no"), s["paragraph_no"].alias("paragraph_no"), s["lang"].alias("lang"))).cast(entry)
+    parts = F.transform(F.filter("segments", lambda s: s["lang"] != OTHER), lambda s: F.struct(s["section_no"].alias("section_no"), s["paragraph_no"].alias("paragraph_no"), s["lang"].alias("lang"))).cast(entry)
     return labelled.select("document_id", F.explode(F.concat(whole, parts)).alias("c")).select("document_id", "c.section_no", "c.paragraph_no", "c.lang").distinct()

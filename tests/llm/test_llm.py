@@ -243,3 +243,33 @@ def test_headers_without_a_title():
     assert [[i for k, i in r.defects if k == "header"] for r in got] == [["Unbiased membrane simulation in systems"], ["Unbiased membrane sirnulation in systems"], ["ON THE CALIBRATION OF ORGANIC RESP0NDENTS"], []]
     assert got[0].text == "the samples were collected near the" and got[2].text == "the water was measured"
     assert scan_repair.headers_in(["Brüche wurden\nin Abbildung gezeigt und\nberechnet", None, ""]) == []
+
+
+def test_text_in_no_known_language_is_other():
+    from collections import Counter
+
+    base = {
+        "en": "the samples were collected in the river and the lake and measured again with the same method before the water was filtered",
+        "de": "die proben wurden in dem fluss und dem see gesammelt und mit der gleichen methode gemessen bevor das wasser gefiltert wurde",
+        "fr": "les échantillons ont été prélevés dans la rivière et le lac et mesurés avec la même méthode avant que l'eau soit filtrée",
+        "es": "las muestras se recogieron en el río y el lago y se midieron con el mismo método antes de que el agua fuera filtrada",
+    }
+    docs = [(lang, [Counter(languages.split_words(t) * 40)]) for lang, t in base.items()]
+    model = languages.Model(languages.fit_sentences(docs, languages.VOCABULARY), languages.VOCABULARY)
+
+    def other(text):
+        w = languages.split_words(text)
+        s = model.sums(w)
+        return model.unlike(s, int(s[: model.k].argmax()), len(w))
+
+    assert other("Próbki zostały zebrane z jezior w północnej części kraju i zbadane innymi metodami niż te, które wcześniej opisali autorzy") and other("Образцы были собраны из озёр северной части страны и исследованы другими методами")
+    assert not any(other(t) for t in base.values())
+
+
+def test_language_sample_is_bounded(spark):
+    row = [(str(i), "en", None, [(1, [("The water was measured in the river. " * 3,)])]) for i in range(60)]
+    parsed = spark.createDataFrame(row, "id string, language string, title string, sections array<struct<ordinal:int,paragraphs:array<struct<text:string>>>>")
+    fitted = languages.fit_model(parsed, sample=10)
+    got = languages.label_documents(parsed, fitted).collect()
+    assert len(got) == 60 and {r.lang for r in got} == {"en"}
+    assert languages.label_documents(parsed.limit(0), languages.fit_model(parsed.limit(0))).count() == 0
