@@ -252,6 +252,8 @@ def test_text_in_no_known_language_is_other():
         "en": "the samples were collected in the river and the lake and measured again with the same method before the water was filtered",
         "de": "die proben wurden in dem fluss und dem see gesammelt und mit der gleichen methode gemessen bevor das wasser gefiltert wurde",
         "fr": "les échantillons ont été prélevés dans la rivière et le lac et mesurés avec la même méthode avant que l'eau soit filtrée",
+        "pt": "as amostras foram recolhidas no rio e no lago e medidas com o mesmo método antes de a água ser filtrada",
+        "zh": "样品在河流和湖泊中采集并用相同的方法测量然后过滤水",
         "es": "las muestras se recogieron en el río y el lago y se midieron con el mismo método antes de que el agua fuera filtrada",
     }
     docs = [(lang, [Counter(languages.split_words(t) * 40)]) for lang, t in base.items()]
