@@ -5,16 +5,17 @@
 2. The histogram of lengths (at most ``capacity`` rows, whatever the corpus)
    goes to the driver.  Dynamic programming over it chooses the length buckets
    that minimise padding.
-3. Containers are filled by best fit over decreasing lengths: an item goes into
-   the fullest container that has room for it, whatever its bucket, and opens a
-   new one otherwise.  This replaced batches within one bucket, which leave the
-   rest of a container unused; the buckets don't change the containers, they
-   only label each with the bucket of the length that opened it.  Containers
-   of one make-up are handled as a range, so this works on the histogram and
-   costs the same for any corpus.
+3. Bucket by bucket, the longest first, batches of at most ``capacity`` tokens
+   form from the items of that bucket: the longest first, each into the fullest
+   batch of its bucket that has room, else into a new one.  What a bucket's own
+   items leave of its batches is then topped up, the tightest spaces first, with
+   the longest items of shorter buckets that fit; these are gone when their own
+   bucket's turn comes.  So the bounds decide which items stand together.
+   Containers of one make-up are handled as a range, so this works on the
+   histogram and costs the same for any corpus.
 4. Items get their place by their number within their length.  Numbers come
-   from salted windows plus offsets, so a length that a third of the corpus
-   shares is numbered by many tasks.
+   from salted windows plus offsets, with as many salts as the items need, so a
+   length that a third of the corpus shares is numbered by many tasks.
 
 Defined results: null and empty texts have no tokens and no container; equal
 texts are separate items; no item is in two containers unless it was cut.
@@ -38,7 +39,7 @@ from docsieve.sources.settle import settle
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 BUCKETS = 8
-SALTS = 256
+SALT_ROWS = 250_000  # items numbered by one task
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -97,52 +98,73 @@ def bucket_bounds(histogram: dict[int, int], k: int = BUCKETS) -> list[int]:
     return sorted(bounds)
 
 
+class _Spaces:
+    """Open containers by the space left in them: ranges (first container, containers)."""
+
+    def __init__(self) -> None:
+        self.room: dict[int, list[tuple[int, int]]] = {}
+        self.sizes: list[int] = []  # sorted keys of room
+
+    def put(self, space: int, first: int, many: int) -> None:
+        if space > 0 and many > 0:
+            if space not in self.room:
+                self.room[space] = []
+                bisect.insort(self.sizes, space)
+            self.room[space].append((first, many))
+
+    def take(self, least: int) -> tuple[int, int, int] | None:
+        """(space, first container, containers) of the tightest space of at least ``least``."""
+        at = bisect.bisect_left(self.sizes, least)
+        if at == len(self.sizes):
+            return None
+        space = self.sizes[at]
+        first, many = self.room[space].pop()
+        if not self.room[space]:
+            del self.room[space]
+            self.sizes.pop(at)
+        return space, first, many
+
+
 def plan_batches(histogram: dict[int, int], capacity: int, bounds: list[int]) -> list[tuple[int, int, int, int, int, int]]:
     """Where the items of each length go: (length, first item, end item, first container, items per container, bucket).
 
-    ``bucket`` is the bound of the bucket that opened the container.
+    ``bucket`` is the bound of the bucket whose batch the container is.
     """
     segments: list[tuple[int, int, int, int, int, int]] = []
-    room: dict[int, list[tuple[int, int, int]]] = {}  # space left: ranges (first container, containers, bucket)
-    spaces: list[int] = []  # sorted keys of room
+    placed = dict.fromkeys(histogram, 0)  # items of each length that have their place
+    waiting = sorted(n for n, c in histogram.items() if c)  # lengths with items left
     opened = 0
 
-    def put(space: int, piece: tuple[int, int, int]) -> None:
-        if space > 0 and piece[1] > 0:
-            if space not in room:
-                room[space] = []
-                bisect.insort(spaces, space)
-            room[space].append(piece)
-
-    for length in sorted(histogram, reverse=True):
-        item, end = 0, histogram[length]
-        bucket = bounds[bisect.bisect_left(bounds, length)]
-        while item < end:
-            at = bisect.bisect_left(spaces, length)
-            if at < len(spaces):
-                space = spaces[at]
-                first, many, owner = room[space].pop()
-                if not room[space]:
-                    del room[space]
-                    spaces.pop(at)
-            else:
-                per = capacity // length
-                many = -(-(end - item) // per)
-                space, first, owner = capacity, opened, bucket
+    def fill(length: int, space: int, first: int, many: int, bound: int, spaces: _Spaces) -> None:
+        """Items of one length into ``many`` containers with ``space`` each; what is left of them goes back to ``spaces``."""
+        item, end, per = placed[length], histogram[length], space // length
+        full = min(many, (end - item) // per)
+        if full:
+            segments.append((length, item, item + full * per, first, per, bound))
+            spaces.put(space - per * length, first, full)
+            item += full * per
+        used, rest = full, end - item
+        if full < many and 0 < rest < per:
+            segments.append((length, item, end, first + full, per, bound))
+            spaces.put(space - rest * length, first + full, 1)
+            item, used = end, full + 1
+        spaces.put(space, first + used, many - used)
+        placed[length] = item
+        if item == end:
+            waiting.pop(bisect.bisect_left(waiting, length))
+
+    for k in range(len(bounds) - 1, -1, -1):
+        least, bound, spaces = bounds[k - 1] if k else 0, bounds[k], _Spaces()
+        while waiting and waiting[-1] > least:
+            length = waiting[-1]
+            found = spaces.take(length)
+            if found is None:
+                many = -(-(histogram[length] - placed[length]) // (capacity // length))
+                found = capacity, opened, many
                 opened += many
-            per = space // length
-            full = min(many, (end - item) // per)
-            if full:
-                segments.append((length, item, item + full * per, first, per, owner))
-                item += full * per
-                put(space - per * length, (first, full, owner))
-            rest = end - item if full < many else 0
-            used = full
-            if 0 < rest < per:
-                segments.append((length, item, end, first + full, per, owner))
-                put(space - rest * length, (first + full, 1, owner))
-                item, used = end, full + 1
-            put(space, (first + used, many - used, owner))
+            fill(length, *found, bound, spaces)
+        while waiting and (found := spaces.take(waiting[0])):  # a space below the shortest item left stays
+            fill(waiting[bisect.bisect_right(waiting, found[0]) - 1], *found, bound, spaces)
     return segments
 
 
@@ -161,13 +183,15 @@ def containers(df: DataFrame, key: str, text: str, *, tokenizer: str = TOKENIZER
         (F.col("_p") * capacity).cast("bigint").alias("token_start"),
         F.least(F.col("n_tokens"), (F.col("_p") + 1).cast("bigint") * capacity).alias("token_end"),
     ).withColumn("n_tokens", F.expr("cast(token_end - token_start as int)"))
-    items = settle(items.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(`{key}`, part), {SALTS}) as int)")), "pack-items")
+    items = settle(items, "pack-items")
+    salts = 1 + items.count() // SALT_ROWS
+    items = items.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(`{key}`, part), {salts}) as int)"))
     cells = items.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r[0]: r[1] for r in cells.groupBy("n_tokens").agg(F.sum("_n")).collect()}  # at most `capacity` rows
     segments = plan_batches(histogram, capacity, bucket_bounds(histogram, buckets))
     plan = _segments(spark, segments)
     before = W.partitionBy("n_tokens").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select("n_tokens", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # `SALTS` rows a length
+    offsets = cells.select("n_tokens", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # one row for each salt and length
     within = W.partitionBy("n_tokens", "_salt").orderBy(key, "part")
     numbered = items.withColumn("_r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "_salt"]).withColumn("_i", F.col("_r") + F.col("_off"))
     placed = numbered.join(F.broadcast(plan), (numbered["n_tokens"] == plan["_len"]) & (numbered["_i"] >= plan["_a"]) & (numbered["_i"] < plan["_b"]))  # a few rows for each of at most `capacity` lengths

@@ -74,17 +74,25 @@ def test_shards_and_hot_shards_against_brute_force(spark):
         assert got == {k: v for k, v in want.items() if v}
 
 
-def test_packing_plan():
-    rng = random.Random(1)
-    hist = {rng.randint(1, 2048): rng.randint(1, 40) for _ in range(200)}
-    bounds = packing.bucket_bounds(hist, 8)
-    load, seen = {}, set()
-    for length, a, b, c, q, _ in packing.plan_batches(hist, 2048, bounds):
+def packed(hist, capacity, bounds):
+    """(length, item) pairs of every container; no item twice."""
+    held, seen = {}, set()
+    for length, a, b, c, q, _ in packing.plan_batches(hist, capacity, bounds):
         for i in range(a, b):
-            load[c + (i - a) // q] = load.get(c + (i - a) // q, 0) + length
+            held.setdefault(c + (i - a) // q, []).append((length, i))
             assert (length, i) not in seen
             seen.add((length, i))
-    assert len(seen) == sum(hist.values()) and max(load.values()) <= 2048
+    assert len(seen) == sum(hist.values()) and max((sum(n for n, _ in x) for x in held.values()), default=0) <= capacity
+    return held
+
+
+def test_packing_plan():
+    rng = random.Random(1)
+    for times in range(60):
+        hist = {rng.randint(1, 2048): rng.randint(1, 40) for _ in range(200 if times == 0 else rng.randint(1, 12))}
+        held = packed(hist, 2048, packing.bucket_bounds(hist, 8))
+        if times == 0:
+            assert len(held) <= 1.01 * len(packed(hist, 2048, [2048]))  # one bucket: best fit over all lengths
     small = {1: 3, 4: 2, 9: 1}
     best = min(sum(next(b - x for b in sorted({s, 9}) if b >= x) * n for x, n in small.items()) for s in small)
     got = packing.bucket_bounds(small, 2)
@@ -92,6 +100,18 @@ def test_packing_plan():
     assert packing.bucket_bounds({}) == [] and packing.plan_batches({}, 2048, []) == []
 
 
+def test_buckets_decide_the_containers():
+    def make(hist, bounds):
+        return sorted(tuple(sorted(n for n, _ in x)) for x in packed(hist, 1000, bounds).values())
+
+    hist = {600: 1, 450: 2, 90: 1}
+    assert make(hist, [600]) == [(90, 450, 450), (600,)]  # one bucket: the tightest space of all
+    assert make(hist, [450, 600]) == [(90, 600), (450, 450)]  # the long bucket's batches are topped up before the next bucket's turn
+    rng = random.Random(5)
+    hist = {rng.randint(1, 1000): rng.randint(1, 9) for _ in range(60)}
+    assert make(hist, packing.bucket_bounds(hist, 4)) != make(hist, packing.bucket_bounds(hist, 2))
+
+
 def test_containers(spark):
     rows = [(1, "word " * 5000), (2, "a few words"), (3, None), (4, ""), (5, "a few words")]
     got = packing.containers(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()
