@@ -2,14 +2,18 @@
 
 ``split_packed`` turns a string column that packs several names into one row
 per name.  Delimiters differ from source to source and the values may be
-quoted, so the delimiter is inferred: every combination of the delimiters
-that occur is scored on how regular the resulting pieces are (do they look
-like a person, an inverted person or an organisation?) and on how consistent
-the number of pieces is between rows of one source; the best one splits.
+quoted, so the delimiters are inferred.  Each row scores combinations of the
+delimiters that occur in it on how regular the resulting pieces are (do they
+look like a person, an inverted person or an organisation?).  Per source these
+scores are added up: how regular a combination is, how consistent its number of
+pieces is, and in how many of the source's rows it is the best.  A row is split
+by the combination with the best sum of its own score and its source's; where
+several fit a row alike, its source decides.
 
 Defined results: null, empty and blank strings give no row; empty places are
 skipped and don't count as a position; a value repeated inside one string is
-kept (positions differ); text of any length is processed whole.
+kept (positions differ); text of any length is processed whole; rows without a
+source form one source.
 """
 
 from __future__ import annotations
@@ -109,6 +113,7 @@ def _protect_orgs(text: str) -> tuple[str, list[str]]:
     return _PROTECT.sub(hide, text), words
 
 
+@lru_cache(maxsize=65536)
 def piece_score(piece: str, delims: str = ";；|｜\n\t/／•·、，&＆") -> float:
     """How much a piece looks like one author: 1 person or organisation, less for what remains unsplit or is a fragment."""
     p = piece.strip()
@@ -175,40 +180,74 @@ def _subsets(present: tuple[str, ...]) -> list[tuple[str, ...]]:
     return [c for n in range(len(present) + 1) for c in combinations(present, n)]
 
 
-def score_subsets(text: str) -> dict[tuple[str, ...], tuple[float, int]]:
-    """For each combination of delimiters that occur: mean regularity of the pieces and their number."""
-    masked, _ = _mask_quotes(text)
-    masked, _ = _protect_orgs(masked)
-    out = {}
-    for s in _subsets(tuple(_present(masked))):
+SOURCE_WEIGHT = 0.1  # what a source's habit counts beside a row's own regularity
+EXHAUSTIVE = 6  # kinds of delimiters in one string up to which every combination is scored
+
+
+def _mask(text: str) -> tuple[str, list[str], list[str]]:
+    masked, quoted = _mask_quotes(text)
+    masked, words = _protect_orgs(masked)
+    return masked, quoted, words
+
+
+def _scores(masked: str) -> dict[tuple[str, ...], tuple[float, int]]:
+    """For combinations of the delimiters that occur: mean regularity of the pieces and their number.
+
+    All of them up to ``EXHAUSTIVE`` kinds; beyond, those of two kinds and from
+    the best of these on every combination that adds the best further kind.
+    """
+    out: dict[tuple[str, ...], tuple[float, int]] = {}
+
+    def score(s: tuple[str, ...]) -> None:
         pieces = [_NUMBERING.sub("", p) for p in _pieces(masked, s)]
         scores = [x for p in pieces if (x := piece_score(_ET_AL.sub("", p))) >= 0]
         if scores:
             out[s] = (sum(scores) / len(scores), len(scores))
+
+    present = tuple(_present(masked))
+    if len(present) <= EXHAUSTIVE:
+        for s in _subsets(present):
+            score(s)
+        return out
+    for n in range(3):
+        for s in combinations(present, n):
+            score(s)
+    while out:
+        best = choose(out)
+        new = [s for d in present if d not in best and (s := tuple(x for x in present if x in best or x == d)) not in out]
+        for s in new:
+            score(s)
+        if choose(out) == best:
+            break
     return out
 
 
+def score_subsets(text: str) -> dict[tuple[str, ...], tuple[float, int]]:
+    """The scores of a text as it stands."""
+    return _scores(_mask(text)[0])
+
+
 def choose(scores: dict[tuple[str, ...], tuple[float, int]], prior: dict[tuple[str, ...], float] | None = None) -> tuple[str, ...]:
     """The combination with the most regular pieces; among equals the fewest delimiters, then the earliest in DELIMITERS."""
     prior = prior or {}
     order = list(DELIMITERS)
-    return max(scores, key=lambda s: (round(scores[s][0] + 0.05 * prior.get(s, 0.0), 6), -len(s), [-order.index(d) for d in s]))
+    return max(scores, key=lambda s: (round(scores[s][0] + SOURCE_WEIGHT * prior.get(s, 0.0), 6), -len(s), [-order.index(d) for d in s]))
+
+
+_AROUND = "\ufeff \t\r\n\xa0"
 
 
 def split_value(text: str | None, prior: dict[tuple[str, ...], float] | None = None) -> list[str]:
     """The values packed in ``text``, in order, empty places skipped."""
     if not text or not text.strip():
         return []
-    text = text.strip("\ufeff \t\r\n\xa0")
-    scores = score_subsets(text)
+    masked, kept, hidden = _mask(text.strip(_AROUND))
+    scores = _scores(masked)
     if not scores:
         return []
-    best = choose(scores, prior)
-    masked, kept = _mask_quotes(text)
-    masked, hidden = _protect_orgs(masked)
     quoted, words = iter(kept), iter(hidden)
     out = []
-    for p in _pieces(masked, best):
+    for p in _pieces(masked, choose(scores, prior)):
         p = _NUMBERING.sub("", p.strip())
         p = re.sub(_HIDDEN, lambda _: next(words), p).strip().strip(",;|/&").strip()
         p = next(quoted).strip() if p == _QUOTED else re.sub(_QUOTED, lambda _: f'"{next(quoted)}"', p)
@@ -219,53 +258,63 @@ def split_value(text: str | None, prior: dict[tuple[str, ...], float] | None = N
     return out
 
 
-def split_packed(df: DataFrame, key: str, packed: str, *, source: str | None = None, value_name: str = "author") -> DataFrame:
-    """(key, pos, value): one row for each value in ``packed``.
+def source_scores(df: DataFrame, packed: str, source: str) -> DataFrame:
+    """(source, delims, prior): what speaks for each combination of delimiters in each source.
 
-    ``source`` names the column whose rows share one notation; their scores
-    are added up first (count and sums only, combined map-side) and act as a
-    prior for each row.  Without it every string is its own source.  The prior
-    table has one row per source and combination and is joined back by source,
-    never collected.
+    The share of the source's rows in which it is the best, times its mean
+    regularity there less a tenth of the relative spread of the number of
+    pieces.  Sums only, combined map-side, so a source with most of the rows
+    costs no more.
     """
-    cols = [key, packed] + ([source] if source and source not in (key, packed) else [])
-    rows = df.select(*[F.col(c) for c in cols]).where(F.col(packed).isNotNull())
-    key_type = df.schema[key].dataType.simpleString()
-    out = f"`{key}` {key_type}, pos int, `{value_name}` string"
-    if source is None:
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, pos, vals, ids = [], [], [], b.column(0)
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    for n, v in enumerate(split_value(text), 1):
-                        keys.append(i), pos.append(n), vals.append(v)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keys, pa.int64())), pa.array(pos, pa.int32()), pa.array(vals, pa.string())], names=[key, "pos", value_name])
-
-        return rows.mapInArrow(explode, out)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index(source)
-            src, name, reg, n = [], [], [], []
+            at, name, reg, n, best = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                for s, (r, c) in score_subsets((text or "").strip()).items():
-                    src.append(i), name.append("+".join(s)), reg.append(r), n.append(float(c))
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(src, pa.int64())), pa.array(name, pa.string()), pa.array(reg, pa.float64()), pa.array(n, pa.float64())], names=[source, "delims", "reg", "n"])
+                found = score_subsets((text or "").strip(_AROUND))
+                first = choose(found) if found else None
+                for s, (r, c) in found.items():
+                    at.append(i), name.append("+".join(s)), reg.append(r), n.append(float(c)), best.append(s == first)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, t) for v, t in ((name, pa.string()), (reg, pa.float64()), (n, pa.float64()), (best, pa.bool_()))]], names=["_src", "delims", "reg", "n", "best"])
+
+    kind = df.schema[source].dataType.simpleString()
+    each = df.where(F.col(packed).isNotNull()).select(F.col(source).alias("_src"), F.col(packed).alias("_packed")).mapInArrow(scores, f"_src {kind}, delims string, reg double, n double, best boolean")
+    sums = each.groupBy("_src", "delims").agg(F.avg(F.when(F.col("best"), F.col("reg"))).alias("reg"), F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"), F.count_if("best").alias("won"))
+    rows = sums.groupBy("_src").agg(F.greatest(F.sum("won"), F.lit(1)).alias("rows")).withColumnRenamed("_src", "_rows_src")  # each row has one best
+    j = sums.join(rows, F.col("_src").eqNullSafe(F.col("_rows_src")))
+    return j.select(F.col("_src").alias(source), "delims", F.expr("coalesce(won / rows * (reg - 0.1 * sd / greatest(m, 1)), 0.0)").alias("prior"))
 
-    src_type = df.schema[source].dataType.simpleString()
-    sums = rows.mapInArrow(scores, f"`{source}` {src_type}, delims string, reg double, n double").groupBy(source, "delims").agg(F.avg("reg").alias("reg"), F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
-    prior = sums.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct("delims", F.expr("reg - 0.1 * sd / greatest(m, 1)")))).alias("_prior"))
-    joined = rows.join(prior.withColumnRenamed(source, "_src"), F.col(source).eqNullSafe(F.col("_src")), "left").select(*cols, "_prior")
 
-    def explode_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def split_packed(df: DataFrame, key: str, packed: str, *, source: str | None = None, value_name: str = "author") -> DataFrame:
+    """(key, pos, value): one row for each value in ``packed``.
+
+    ``source`` names the column whose rows share a notation; what
+    ``source_scores`` finds for it is joined back by source, never collected.
+    Without it each string is its own source.
+    """
+    rows = df.where(F.col(packed).isNotNull())
+    if source is None:
+        given = rows.select(F.col(key).alias("_k"), F.col(packed).alias("_packed"), F.lit(None).cast("map<string,double>").alias("_prior"))
+    else:
+        prior = source_scores(df, packed, source).groupBy(F.col(source).alias("_src")).agg(F.map_from_entries(F.collect_list(F.struct("delims", "prior"))).alias("_prior"))  # at most the combinations of DELIMITERS
+        given = rows.select(F.col(key).alias("_k"), F.col(packed).alias("_packed"), F.col(source).alias("_s")).join(prior, F.col("_s").eqNullSafe(F.col("_src")), "left").select("_k", "_packed", "_prior")
+    kind = df.schema[key].dataType.simpleString()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, dict] = {}
         for b in batches:
             keys, pos, vals = [], [], []
-            priors = b.column(b.num_columns - 1).to_pylist()
-            for i, text in enumerate(b.column(1).to_pylist()):
-                p = {tuple(x for x in k.split("+") if x): v for k, v in (priors[i] or [])}
+            for i, (text, entries) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                p = None
+                if entries:
+                    entries = tuple(entries)
+                    if entries not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[entries] = {tuple(x for x in k.split("+") if x): v for k, v in entries}
+                    p = known[entries]
                 for n, v in enumerate(split_value(text, p), 1):
                     keys.append(i), pos.append(n), vals.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(pos, pa.int32()), pa.array(vals, pa.string())], names=[key, "pos", value_name])
 
-    return joined.mapInArrow(explode_with, out)
+    return given.mapInArrow(explode, f"`{key}` {kind}, pos int, `{value_name}` string")

@@ -1,5 +1,5 @@
 import pytest
-from docsieve.operators.packed import split_packed, split_value
+from docsieve.operators.packed import source_scores, split_packed, split_value
 
 
 @pytest.mark.parametrize(
@@ -44,3 +44,22 @@ def test_any_number_of_quoted_values_and_private_characters():
     groups = ["Centre of Soil and Water Studies, Oslo"] * 4200
     assert split_value(" / ".join(groups)) == groups
     assert split_value('"Lund, \ue000 Ada"; Ivo \ue700 Berg; Kim \ue000 Holm') == ["Lund, \ue000 Ada", "Ivo \ue700 Berg", "Kim \ue000 Holm"]
+
+
+def test_the_source_decides_rows(spark):
+    inverted = [(f"a{i}", f"Lund{'abcdefghij'[i]}, Ada", "inverted") for i in range(10)]
+    listed = [(f"b{i}", f"Ada Lund{'abcdefghij'[i]}, Ivo Berg", "listed") for i in range(10)]
+    df = spark.createDataFrame([*inverted, *listed, ("x", "Lund, Ada Berg", "inverted"), ("y", "Lund, Ada Berg", "listed"), ("z", "Lund, Ada", None)], "id string, authors string, src string")
+    got = {}
+    for r in sorted(split_packed(df, "id", "authors", source="src").collect(), key=lambda r: (r.id, r.pos)):
+        got.setdefault(r.id, []).append(r.author)
+    assert got["x"] == ["Lund, Ada Berg"] and got["y"] == ["Lund", "Ada Berg"] and got["z"] == ["Lund, Ada"]
+    assert got["a3"] == ["Lundd, Ada"] and got["b3"] == ["Ada Lundd", "Ivo Berg"]
+    top = {s: max((r.prior, r.delims) for r in source_scores(df, "authors", "src").collect() if r.src == s)[1] for s in ("inverted", "listed")}
+    assert top == {"inverted": "", "listed": "comma"}
+    assert split_packed(df.limit(0), "id", "authors", source="src").count() == 0
+
+
+def test_many_kinds_of_delimiters():
+    text = "Ada Lund; Ivo Berg | Kim Holm / Bo Ek & Una Dahl、Per Moe\tLiv Aas • Jon Vik"
+    assert split_value(text) == ["Ada Lund", "Ivo Berg", "Kim Holm", "Bo Ek", "Una Dahl", "Per Moe", "Liv Aas", "Jon Vik"]
