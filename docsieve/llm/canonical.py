@@ -1,15 +1,18 @@
 """One consistent form for text that looks the same (problem 10).
 
 A longest-match transducer over grapheme clusters (a base character with its
-combining marks and the invisible characters between them) rewrites widths,
-accents, spaces and look-alike letters in one pass.  Its mapping is built once
-from rules and checked for conflicts: no source has two targets and every
-target is a fixed point, so the form of a form is the form itself.
+combining marks and the invisible characters between them, a Hangul syllable in
+parts, half-width kana with its voicing mark) rewrites widths, accents, spaces
+and look-alike letters in one pass.  Its mapping is built once from rules and
+checked for conflicts: no source has two targets and every target is a fixed
+point, so the form of a form is the form itself.  Texts that Unicode calls
+canonically equivalent have one form, in every script.
 
 Defined results: null stays null; text without a visible character becomes the
 empty string; line ends become ``\\n``, blanks before a line end and around
 the text go (they can't be seen).  Superscripts, curly quotes, dashes of
-another length and other visibly different marks are left as they are.
+another length and other visibly different marks are left as they are, and so
+are joiners between letters of scripts in which they change the shape.
 """
 
 from __future__ import annotations
@@ -33,21 +36,35 @@ LOOK_ALIKES = [
     # Armenian, Latin letters of phonetic alphabets
     ("օսցհ", "ough"),
     ("ɑɡ", "ag"),
+    # Cherokee, Lisu, Roman numerals
+    ("ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCEHJKLMPRSTVWZ"),
+    ("ꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "BCDEFGHIJKLMNOPRSTUVWXYZ"),
+    ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"),
 ]
 # Characters that stand for another with the same look.
 SAME_LOOK = {"‐": "-", "‑": "-", "µ": "μ", "ʼ": "’", "∕": "/", "⁄": "/", "∶": ":", "﹣": "-"}
 _SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _VISIBLE_FORMAT = {0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x08E2}
-_IGNORED_RANGES = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0)]
+_IGNORED_RANGES = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
+
+
+_JOINERS = "\u200c\u200d"  # invisible but for the scripts and signs below, whose shape they change
+_JOINED = "\\u0600-\\u08ff\\u0900-\\u0dff\\u1000-\\u109f\\u1780-\\u18af\\u2190-\\u2bff\\ufe0f\\U0001f000-\\U0001faff"
+_KANA = "[\uff73\uff76-\uff84\uff8a-\uff8e][\uff9e\uff9f]"  # half-width kana with a voicing mark
 
 
 def _invisible() -> list[str]:
     out = [chr(c) for c in range(0x20) if c not in (0x09, 0x0A, 0x0D)] + [chr(c) for c in range(0x7F, 0xA0) if c != 0x85]
-    out += [chr(c) for c in range(0xA0, 0x10000) if unicodedata.category(chr(c)) == "Cf" and c not in _VISIBLE_FORMAT]
+    out += [chr(c) for c in range(0xA0, 0x10000) if unicodedata.category(chr(c)) == "Cf" and c not in _VISIBLE_FORMAT and chr(c) not in _JOINERS]
     out += [chr(c) for a, b in _IGNORED_RANGES for c in range(a, b + 1)]
     return out
 
 
+def _assigned() -> range:
+    """The code points that can have a canonical decomposition or combine: three planes."""
+    return range(0x80, 0x30000)
+
+
 @lru_cache(maxsize=1)
 def mapping() -> dict[str, str]:
     """Every single source character with its target, conflict-checked."""
@@ -55,7 +72,7 @@ def mapping() -> dict[str, str]:
 
     def add(source: str, target: str) -> None:
         if table.setdefault(source, target) != target:
-            raise ValueError(f"two targets for U+{ord(source):04X}: {table[source]!r} and {target!r}")
+            raise ValueError(f"two targets for {source!r}: {table[source]!r} and {target!r}")
 
     for sources, targets in LOOK_ALIKES:
         for s, t in zip(sources, targets, strict=True):
@@ -72,10 +89,15 @@ def mapping() -> dict[str, str]:
         t = unicodedata.normalize("NFKC", s)
         if t != s and s not in table:
             add(s, "".join(table.get(x, x) for x in t))
+    for k in "\uff73\uff76\uff77\uff78\uff79\uff7a\uff7b\uff7c\uff7d\uff7e\uff7f\uff80\uff81\uff82\uff83\uff84\uff8a\uff8b\uff8c\uff8d\uff8e":
+        for mark in "\uff9e\uff9f":
+            add(k + mark, unicodedata.normalize("NFKC", k + mark))
     for c in range(0xFB00, 0xFB07):  # Latin ligatures
         add(chr(c), unicodedata.normalize("NFKC", chr(c)))
-    for c in range(0x80, 0x2FFF):  # precomposed letters on a look-alike base, and singletons
+    for c in _assigned():  # precomposed letters on a look-alike base, and singletons
         s = chr(c)
+        if 0xAC00 <= c < 0xD7A4 or 0xD800 <= c < 0xE000:
+            continue
         d = unicodedata.normalize("NFD", s)
         if d != s and s not in table:
             t = unicodedata.normalize("NFC", "".join(table.get(x, x) for x in d))
@@ -88,7 +110,7 @@ def mapping() -> dict[str, str]:
                 break
             t = u
         else:
-            raise ValueError(f"no fixed point for U+{ord(s):04X}")
+            raise ValueError(f"no fixed point for {s!r}")
         table[s] = t
     return table
 
@@ -106,30 +128,70 @@ def _class(chars: list[str]) -> str:
     return "".join(out)
 
 
-_MARKS = "\\u0300-\\u034e\\u0350-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe20-\\ufe2f"
+@lru_cache(maxsize=1)
+def _marks() -> list[str]:
+    """What can combine with a character before it: marks of every script, and the vowels and finals of Hangul."""
+    out = [chr(c) for c in (*_assigned(), *range(0x30000, 0x30001)) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c)))]
+    out += [chr(c) for a, b in ((0x1161, 0x1175), (0x11A8, 0x11C2)) for c in range(a, b + 1)]
+    return [c for c in out if mapping().get(c) != ""]
 
 
-@lru_cache(maxsize=1)
-def _compiled() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[str, str]]:
-    table = mapping()
-    gone = _class([s for s, t in table.items() if not t])
-    any_source = _class(list(table))
-    singles = re.compile(f"[{any_source}]+")
-    clusters = re.compile(f"[^{_MARKS}{gone}\\s](?:[{gone}]*[{_MARKS}])+|(?:[{any_source}](?![{gone}]*[{_MARKS}]))+|[{_MARKS}]+")
-    return singles, clusters, re.compile(f"[{_MARKS}]"), table
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
-def _run(run: str) -> str:
-    table = _compiled()[3]
-    return "".join([table.get(c, c) for c in run])
+class _Compiled:
+    """The patterns of the transducer; for texts within the basic plane shorter ones, which run faster."""
+
+    def __init__(self, top: str) -> None:
+        self.table = mapping()
+        marks = _class([c for c in _marks() if c <= top])
+        self.gone = frozenset(s for s, t in self.table.items() if not t and s <= top)
+        gone = _class(list(self.gone))
+        self.joiners = re.compile(f"(?<![{_JOINED}])[{_JOINERS}]+|[{_JOINERS}]+(?![{_JOINED}])")
+        self.kana = re.compile(_KANA)
+        self.sources = re.compile(f"[{_class([s for s in self.table if len(s) == 1 and s <= top])}]+")
+        self.mark = re.compile(f"[{marks}]")
+        self.tail = re.compile(f"[{marks}](?:[{gone}]*[{marks}])*")  # of a cluster, from its first mark on
+
+
+@lru_cache(maxsize=2)
+def _compiled(top: str = "\uffff") -> _Compiled:
+    return _Compiled(top)
+
+
+def _run(m: re.Match) -> str:
+    """The target of a run of sources without marks."""
+    run, c = m.group(), _compiled()
+    if "\uff9e" in run or "\uff9f" in run:
+        run = c.kana.sub(lambda k: c.table[k.group()], run)
+    return "".join([c.table.get(x, x) for x in run])
 
 
 @lru_cache(maxsize=65536)
 def _cluster(text: str) -> str:
     """The target of one cluster: base and marks mapped, then composed in canonical order."""
-    table = _compiled()[3]
-    flat = unicodedata.normalize("NFD", "".join(table.get(c, c) for c in text))
-    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in flat))
+    table = _compiled().table
+    flat = unicodedata.normalize("NFD", "".join([table.get(c, c) for c in text]))
+    return unicodedata.normalize("NFC", "".join([table.get(c, c) for c in flat]))
+
+
+def _transduce(text: str) -> str:
+    """One pass over the clusters with marks and the runs between them."""
+    c = _compiled("\U0010ffff" if _BEYOND.search(text) else "\uffff")
+    if "\u200c" in text or "\u200d" in text:
+        text = c.joiners.sub("", text)
+    out, at = [], 0
+    if not text.isascii() and c.mark.search(text):
+        for m in c.tail.finditer(text):
+            a = m.start()
+            while a > at and text[a - 1] in c.gone:
+                a -= 1
+            if a > at and not text[a - 1].isspace():
+                a -= 1
+            out += (c.sources.sub(_run, text[at:a]), _cluster(text[a : m.end()]))
+            at = m.end()
+        text = text[at:]
+    return "".join([*out, c.sources.sub(_run, text)])
 
 
 _LINE_ENDS = re.compile(r"\r\n?|[\u0085\u2028\u2029]")
@@ -140,14 +202,8 @@ def canonical(text: str | None) -> str | None:
     """``text`` in the one form that all texts of the same look share."""
     if text is None:
         return None
-    if not text.isascii():
-        singles, clusters, marks, _ = _compiled()
-        if marks.search(text):
-            text = clusters.sub(lambda m: _cluster(m.group()), text)
-        else:
-            text = singles.sub(lambda m: _run(m.group()), text)
-    elif not text.isprintable():
-        text = _compiled()[0].sub(lambda m: _run(m.group()), text)
+    if not text.isascii() or not text.isprintable():
+        text = _transduce(text)
     if not text.isprintable():
         text = _BEFORE_END.sub("", _LINE_ENDS.sub("\n", text))
     return text.strip()

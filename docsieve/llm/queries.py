@@ -12,10 +12,10 @@ from docsieve.llm.matching import match_records
 from docsieve.llm.name_links import link_names
 from docsieve.llm.packing import bucket_report, containers
 from docsieve.llm.personal import find_personal, redact_personal
-from docsieve.llm.same_look import same_look_pairs
+from docsieve.llm.same_look import same_look_classes, same_look_pairs
 from docsieve.llm.scan_repair import repair_documents, scan_defects, vocabulary_of
 from docsieve.llm.shared_spans import paragraphs, shared_by_paragraph
-from docsieve.operators.packed import split_packed
+from docsieve.plans.packed_queries import p7_found
 from docsieve.sources.tables import table
 
 
@@ -94,8 +94,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): pairs of different spellings of one person or organisation."""
     lists = [table(spark, sf_dir, t, F.explode("authors").alias("name")) for t in ("reference_sources", "parsed_documents")]
-    packed = table(spark, sf_dir, "research_submissions", "id", "authors").distinct()
-    return link_names(lists[0].unionAll(lists[1]).unionAll(split_packed(packed, "id", "authors", value_name="name").select("name")))
+    return link_names(lists[0].unionAll(lists[1]).unionAll(p7_found(spark, sf_dir).select(F.col("author").alias("name"))))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +122,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, links): the same as classes, one row for each document."""
+    return same_look_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, canonical): every text in the one consistent form."""
     return normalize_text(table(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
 SQL: dict[str, str] = {}

@@ -51,3 +51,16 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     right = rows.select(F.col("exact").alias("eb"), F.col(key).alias("_y"))
     both = pairs.join(left, "ea").join(right, "eb")
     return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
+
+
+def same_look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, links): every row that has a partner, its class, and with how many rows it makes a pair.
+
+    Counts per form and spelling are combined map-side, so this form of the
+    result costs one row for each row whatever the size of a class.
+    """
+    keyed = settle(look_keys(df, key, text).distinct(), "look-keys")
+    counts = keyed.groupBy("form", "exact").agg(F.count("*").alias("_own"))
+    totals = counts.groupBy("form").agg(F.sum("_own").alias("_all"), F.count("*").alias("_n")).where("_n > 1")
+    links = counts.join(totals, "form").select("form", "exact", (F.col("_all") - F.col("_own")).alias("links"))
+    return keyed.join(links, ["form", "exact"]).select(key, F.lower(F.hex("form")).alias("class_id"), "links")

@@ -26,6 +26,19 @@ def test_canonical():
     assert form(None) is None and form(" ​ ") == ""
     table = C.mapping()
     assert all(C.canonical(t) == t.strip() for t in table.values())
+    assert form("ｱｶﾞﾊﾟ") == "アガパ" and form("Ⅴ Ꭺ") == "V A" and form("a\u200db") == "ab" and form("क्\u200dष") != form("क्ष") and form("e\u200b\u0301\u0323") == form("ẹ́")
+
+
+def test_canonically_equivalent_texts_have_one_form():
+    import unicodedata as u
+
+    for c in range(0x80, 0x30000):
+        if not 0xD800 <= c < 0xE000:
+            s = chr(c)
+            d = u.normalize("NFD", s)
+            if d != s or u.normalize("NFC", s) != s:
+                f = C.canonical(f"x{s}y")
+                assert f == C.canonical(f"x{d}y") == C.canonical(f"x{u.normalize('NFC', s)}y") == C.canonical(f), hex(c)
 
 
 def test_same_look_pairs(spark):
@@ -33,6 +46,8 @@ def test_same_look_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, same_look.same_look_pairs(df, "doc_id", "text").collect())) == [(1, 2), (2, 6)]
     assert same_look.same_look_pairs(df.limit(0), "doc_id", "text").count() == 0
+    got = same_look.same_look_classes(df, "doc_id", "text").collect()
+    assert {r.doc_id: r.links for r in got} == {1: 1, 2: 2, 6: 1} and len({r.class_id for r in got}) == 1
 
 
 def test_fm_index_against_brute_force():
