@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from docsieve.llm.leaks import leak_spans, leaks
 from docsieve.llm.matching import match_records
 from docsieve.llm.name_links import link_names
 from docsieve.llm.packing import bucket_report, containers
-from docsieve.llm.personal import find_personal, redact_personal
+from docsieve.llm.personal import find_personal, learn_given, pseudonymise, redact_personal
 from docsieve.llm.same_look import same_look_classes, same_look_pairs
 from docsieve.llm.scan_repair import repair_documents, scan_defects, vocabulary_of
 from docsieve.llm.shared_spans import paragraphs, shared_by_paragraph
@@ -19,16 +21,36 @@ from docsieve.plans.packed_queries import p7_found
 from docsieve.sources.tables import table
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name): every author of references, documents and submissions, one row for each occurrence."""
+    lists = [table(spark, sf_dir, t, F.explode("authors").alias("name")) for t in ("reference_sources", "parsed_documents")]
+    return lists[0].unionAll(lists[1]).unionAll(p7_found(spark, sf_dir).select(F.col("author").alias("name")))
+
+
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "research_submissions", "id", "reason", "review_summary").distinct()
+
+
+def _secret(spark: SparkSession) -> str:
+    """The key of the pseudonyms: ``spark.docsieve.pseudonym.key``; without it a new one, so pseudonyms link within this result only."""
+    return spark.conf.get("spark.docsieve.pseudonym.key", None) or secrets.token_hex(32)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(submission_id, field, kind, value): every personal datum in the two free texts of a submission."""
-    subs = table(spark, sf_dir, "research_submissions", "id", "reason", "review_summary").distinct()
-    return find_personal(subs, "id", ["reason", "review_summary"]).withColumnRenamed("id", "submission_id")
+    given = learn_given(_spellings(spark, sf_dir))
+    return find_personal(_submissions(spark, sf_dir), "id", ["reason", "review_summary"], given).withColumnRenamed("id", "submission_id")
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(submission_id, reason, review_summary): the texts with typed placeholders."""
-    subs = table(spark, sf_dir, "research_submissions", "id", "reason", "review_summary").distinct()
-    return redact_personal(subs, ["reason", "review_summary"]).withColumnRenamed("id", "submission_id")
+    """(submission_id, reason, review_summary): the texts with typed placeholders that carry pseudonyms."""
+    given = learn_given(_spellings(spark, sf_dir))
+    return redact_personal(_submissions(spark, sf_dir), ["reason", "review_summary"], _secret(spark), given).withColumnRenamed("id", "submission_id")
+
+
+def p1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(submission_id, field, kind, value, pseudonym): the found data with what stands for them."""
+    return pseudonymise(p1_found(spark, sf_dir), _secret(spark))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +115,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): pairs of different spellings of one person or organisation."""
-    lists = [table(spark, sf_dir, t, F.explode("authors").alias("name")) for t in ("reference_sources", "parsed_documents")]
-    return link_names(lists[0].unionAll(lists[1]).unionAll(p7_found(spark, sf_dir).select(F.col("author").alias("name"))))
+    return link_names(_spellings(spark, sf_dir))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,5 +153,5 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_text(table(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_pseudonyms": p1_pseudonyms, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
 SQL: dict[str, str] = {}

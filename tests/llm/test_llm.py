@@ -155,19 +155,73 @@ def test_personal(text, want):
     assert [(k, text[a:b]) for a, b, k in personal.find(text)] == want
 
 
+def test_names_outside_the_list():
+    def names(text, given=frozenset()):
+        return [text[a:b] for a, b, k in personal.find(text, given) if k == "name"]
+
+    assert names("Met with Aisha Khan and Wei Zhang today.") == ["Aisha Khan", "Wei Zhang"]
+    assert names("Contact Priya Raghunathan or Bjorn Svensson.") == ["Priya Raghunathan", "Bjorn Svensson"]
+    assert names("The gel was run by Tuva Solheim.") == [] and names("The gel was run by Tuva Solheim.", frozenset({"tuva"})) == ["Tuva Solheim"]
+    assert names("According to Royal Society rules and New Methods, see Table Five.") == []
+
+
+def test_given_names_are_learned(spark):
+    rows = ["Tuva Solheim", "Solheim, Tuva", "Tuva Berg", "T. Holm", "Centre of Water Studies, Oslo", None, "", "Once Only"]
+    assert personal.learn_given(spark.createDataFrame([(r,) for r in rows], "name string")) == {"tuva"}
+
+
 def test_pseudonyms():
-    p = personal
-    assert p.pseudonym("+44 20 7946 0751", "phone")[-7:].replace(" ", "") != "9460751"[-7:]
+    p, key = personal, "k"
     digits = lambda s: "".join(c for c in s if c.isdigit())
-    assert digits(p.pseudonym("(415) 555 0194", "phone")) == digits(p.pseudonym("415-555-0194", "phone"))
+    assert len({digits(p.pseudonym(x, "phone", key))[-9:] for x in ("+44 20 7946 0751", "020 7946 0751", "0044 20 7946-0751")}) == 1
+    assert digits(p.pseudonym("(415) 555 0194", "phone", key))[1:] != "155550194"
     for n in (1, 2, 10, 97, 1000):
-        assert sorted(p.permute(i, n, "k", "t") for i in range(n)) == list(range(n))
-    day = datetime.date(1980, 5, 17)
-    assert p.permute_date(day, "k") != day and p.permute_date(datetime.date(1800, 1, 1), "k").year == 1800
-    value = "12345678" + p.dni_check("12345678")
-    new = p.pseudonym_id(value, "k")
-    assert new != value and p.dni_check(new[:8]) == new[8]
-    assert p.redact("Mail a@b.org now").startswith("Mail <EMAIL ") and p.redact(None) is None
+        assert sorted(p.permute(i, n, key, "t") for i in range(n)) == list(range(n))
+        assert all(p.permute(p.permute(i, n, key, "t"), n, key, "t", True) == i for i in range(n))
+    big = 26**60 + 5
+    assert p.permute(p.permute(big, 26**61, key, "t"), 26**61, key, "t", True) == big and p.permute(big, 26**61, key, "t") >> 140 != big >> 140
+    day = datetime.date(1880, 5, 17)
+    assert p.permute_date(day, key) != day and p.permute_date(p.permute_date(day, key), key, True) == day
+    with pytest.raises(ValueError):
+        p.redact("Mail a@b.org now", "")
+    assert p.redact("Mail a@b.org now", key).startswith("Mail <EMAIL ") and p.redact(None, key) is None
+
+
+def test_personal_tables(spark):
+    df = spark.createDataFrame([("a", "Mail a@b.org or A@B.ORG", 1), ("b", None, 2), ("c", "", 3)], "id string, text string, kind int")
+    found = personal.pseudonymise(personal.find_personal(df, "id", ["text"]), "k").collect()
+    assert len(found) == 2 and len({r.pseudonym for r in found}) == 1
+    red = {r.id: r.text for r in personal.redact_personal(df, ["text"], "k").collect()}
+    assert red["a"].count("<EMAIL ") == 2 and red["b"] is None and red["c"] == ""
+    assert personal.find_personal(df.limit(0), "id", ["text"]).count() == 0
+
+
+def test_pseudonyms_stay_valid_and_lead_back():
+    p, key = personal, "k"
+
+    def bare(s):
+        return "".join(c for c in s if c.isalnum())
+
+    first = "11010519491231002"
+    values = {
+        "12345678" + p.dni_check("12345678"): lambda v: p.dni_check(v[:8]) == v[8],
+        "X1234567" + p.dni_check("01234567"): lambda v: v[0] in "XYZ" and p.dni_check(str("XYZ".index(v[0])) + v[1:8]) == v[8],
+        first + p.resident_check(first): lambda v: p.resident_check(v[:17]) == v[17] and bool(datetime.datetime.strptime(v[6:14], "%Y%m%d")),
+        "DE89 3704 0044 0532 0130 00": lambda v: v[:2] == "DE" and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1,
+        "529.982.247-25": lambda v: p.cpf_check(v[:9]) == v[9:],
+        "1 84 12 76 451 089 46": lambda v: v[0] in "12" and 1 <= int(v[3:5]) <= 12 and p.french_check(v[:13]) == v[13:],
+        "4539 1488 0343 6467": lambda v: p.luhn(v[:-1]) == int(v[-1]),
+        "123-45-6789": lambda v: 1 <= int(v[:3]) <= 665,
+        "AB 12 34 56 C": lambda v: v[-1] in "ABCD",
+    }
+    for value, valid in values.items():
+        new = p.pseudonym(value, "id", key)
+        assert new != value and valid(bare(new)), (value, new)
+        assert [c.isalnum() for c in new] == [c.isalnum() for c in value] and p.restore(new, "id", key) == value.upper()
+    for kind, value in (("email", "Ada.Lund (at) inst (dot) example (dot) org"), ("name", "José  Ångström"), ("address", "208 rue de Heron, 99658 Tornby"), ("name", "王小明"), ("phone", "+44 20 7946 0751")):
+        new = p.pseudonym(value, kind, key)
+        assert new != p.normal_form(value, kind) and p.restore(new, kind, key) == p.normal_form(value, kind) and p.pseudonym(value, kind, "other") != new
+    assert p.pseudonym("a@b.org", "email", key) == p.pseudonym("A @ B.ORG", "email", key)
 
 
 def test_candidates_are_complete():
