@@ -252,12 +252,12 @@ def _check_titles(pairs: DataFrame) -> DataFrame:
 
 
 def _rare_words(titles: DataFrame, counts: DataFrame) -> DataFrame:
-    """(whole, base, mark, n, word): of each title the words that a title sharing all but DIFFERING of them must hold one of."""
-    words = titles.select("whole", "base", "mark", F.array_distinct(F.split("base", " ")).alias("_w"))
-    known = words.select("whole", "base", "mark", F.size("_w").alias("n"), F.explode("_w").alias("word")).join(counts, "word")
-    ranked = known.groupBy("whole", "base", "mark", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("_k"))  # at most the words of one title
+    """(whole, base, mark, words, word): of each title the words that a title sharing all but DIFFERING of them must hold one of."""
+    words = titles.select("whole", "base", "mark", F.array_distinct(F.split("base", " ")).alias("words"))
+    known = words.select("whole", F.size("words").alias("n"), F.explode("words").alias("word")).join(counts, "word")
+    ranked = known.groupBy("whole", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("_k"))  # at most the words of one title
     kept = ranked.withColumn("_most", F.size("_k") - F.col("n") + DIFFERING + 1).where("_most > 0")
-    return kept.select("whole", "base", "mark", "n", F.explode(F.slice("_k", F.lit(1), F.col("_most"))).alias("k")).select("whole", "base", "mark", "n", "k.word")
+    return words.join(kept.select("whole", F.slice("_k", F.lit(1), F.col("_most")).alias("_k")), "whole").select("whole", "base", "mark", "words", F.explode("_k.word").alias("word"))
 
 
 def damaged_titles(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -269,10 +269,9 @@ def damaged_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     theirs = settle(theirs, "match-titles")
     counts = settle(theirs.select(F.explode(F.array_distinct(F.split("base", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "match-words")
     counts = _near(counts)
-    keys = settle(_rare_words(theirs, counts), "match-keys").toDF("c_whole", "c_base", "c_mark", "c_n", "word")
-    both = _rare_words(mine, counts).join(_near(keys), "word").where("mark = c_mark and whole <> c_whole and abs(n - c_n) <= " + str(DIFFERING))
-    common = F.size(F.array_intersect(F.split("base", " "), F.split("c_base", " ")))
-    close = both.where(common >= F.greatest("n", "c_n") - DIFFERING).select("whole", "base", "c_whole", "c_base").distinct()
+    keys = settle(_rare_words(theirs, counts), "match-keys").toDF("c_whole", "c_base", "c_mark", "c_words", "word")
+    both = _rare_words(mine, counts).join(_near(keys), "word").where(f"mark = c_mark and whole <> c_whole and abs(size(words) - size(c_words)) <= {DIFFERING}")
+    close = both.where(F.size(F.array_intersect("words", "c_words")) >= F.greatest(F.size("words"), F.size("c_words")) - DIFFERING).select("whole", "base", "c_whole", "c_base").distinct()
     return _check_titles(close).select("whole", "c_whole")
 
 
