@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docsieve.llm.canonical import canonical
 
 SHARD_WORDS = 1_000_000  # words in one index; bounds a worker's memory
-BLOCK_WORDS = 2_000_000  # words of passages sent to the executors at once
+BLOCK_WORDS = 4_000_000  # words of passages sent to the executors at once: 16 MB of numbers beside their vocabulary
 SAMPLE = 8
 
 _CJK = "⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f"
@@ -113,14 +114,14 @@ class FMIndex:
             begin = np.where(bit, z + ob, begin - ob)
         return i - begin
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of each pattern that occurs: (pattern number, lo, hi)."""
-        patterns = patterns + 1
-        alive = np.arange(len(patterns))
-        alive = alive[(patterns < len(self.start) - 1).all(axis=1)] if len(patterns) else alive
+    def search(self, words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of each pattern ``words[start:start + n]`` that occurs: (number of the pattern, lo, hi)."""
+        alive, top = np.arange(len(starts)), len(self.start) - 2
         lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[alive, k]
+        for k in range(n - 1, -1, -1):
+            c = words[starts[alive] + k].astype(np.int64) + 1
+            known = c <= top
+            alive, c, lo, hi = alive[known], c[known], lo[known], hi[known]
             base = self.start[c]
             lo, hi = base + self.rank(c, lo), base + self.rank(c, hi)
             on = hi > lo
@@ -144,73 +145,99 @@ class FMIndex:
 
 
 class Passages:
-    """The windows of ``n`` words of test passages, by word number."""
-
-    def __init__(self, items: list[tuple[object, str | None]], n: int) -> None:
-        self.n, self.number, windows = n, {}, {}
-        for k, (_, text) in enumerate(items):
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for i in range(len(ids) - n + 1):
-                windows.setdefault(tuple(ids[i : i + n]), set()).add(k)
-        self.patterns = np.array(list(windows), np.int64).reshape(-1, n)
-        self.holders = [sorted(s) for s in windows.values()]
-
-
-def _scan(passages: Passages, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
+    """Test passages as numbered words, built once; equal passages are one.  The windows of ``n`` words begin at ``starts``."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.number, self.size = n, {}, 0
+        self._texts: dict[bytes, int] = {}
+        self._parts: list[np.ndarray] = []
+        self.holders: list[list[object]] = []
+
+    def add(self, item: object, text: str | None) -> None:
+        w = words(text)
+        if len(w) < self.n:
+            return
+        ids = np.fromiter((self.number.setdefault(x, len(self.number) + 1) for x in w), np.int32, len(w))
+        at = self._texts.setdefault(ids.tobytes(), len(self._parts))
+        if at == len(self._parts):
+            self._parts.append(ids)
+            self.holders.append([])
+            self.size += len(ids)
+        self.holders[at].append(item)
+
+    def packed(self) -> tuple:
+        """What is sent: the words in the order of their numbers, all passages' numbers, the ends of the passages, their items."""
+        numbers = np.concatenate(self._parts) if self._parts else np.zeros(0, np.int32)
+        return self.n, list(self.number), numbers, np.cumsum([len(p) for p in self._parts]), self.holders
+
+
+class Windows:
+    """Passages as the executors use them; one for each worker process and block."""
+
+    def __init__(self, n: int, vocabulary: list[str], numbers: np.ndarray, ends: np.ndarray, holders: list[list[object]]) -> None:
+        self.n, self.numbers, self.holders = n, numbers, holders
+        self.number = {w: i for i, w in enumerate(vocabulary, 1)}
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(numbers)) if len(ends) else np.zeros(0, np.int64)
+        self.starts = np.flatnonzero(left >= n)
+        self.passage = np.searchsorted(ends, self.starts, side="right") if len(ends) else self.starts
+
+
+def _scan(passages: Windows, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, object, int, int]]:
     """(row, item, first word, end) of every merged span in one shard; docs: (row, word numbers, word places)."""
     seq = np.concatenate([x for _, ids, _ in docs for x in (ids, np.zeros(1, np.int64))])
     place = np.concatenate([x for _, _, at in docs for x in (at, np.zeros(1, np.int64))])
     row = np.repeat([r for r, _, _ in docs], [len(ids) + 1 for _, ids, _ in docs])
     index = FMIndex(seq)
-    found, lo, hi = index.search(passages.patterns)
+    found, lo, hi = index.search(passages.numbers, passages.starts, passages.n)
     if not len(found):
         return
     width = hi - lo
     which = np.repeat(found, width)
     rows = np.repeat(lo, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     where = index.locate(rows)
-    spans: dict[tuple[int, int], list[int]] = {}
-    for p, w in sorted(zip(which.tolist(), where.tolist(), strict=True), key=lambda x: x[1]):
+    row, place, passage = row[where], place[where], passages.passage[which]
+    order = np.lexsort((place, passage, row))
+    row, place, passage = row[order], place[order], passage[order]
+    first = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(passage) != 0) | (np.diff(place) > passages.n)])
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(row)) - 1
+    for r, p, a, b in zip(row[begin].tolist(), passage[begin].tolist(), place[begin].tolist(), (place[end] + passages.n).tolist(), strict=True):
         for item in passages.holders[p]:
-            spans.setdefault((int(row[w]), item), []).append(int(place[w]))
-    for (r, item), starts in spans.items():
-        starts.sort()
-        first = last = starts[0]
-        for s in starts[1:]:
-            if s > last + passages.n:
-                yield r, item, first, last + passages.n
-                first = s
-            last = s
-        yield r, item, first, last + passages.n
+            yield r, item, a, b
+
+
+_KEPT: dict[int, Windows] = {}  # of this worker process, by broadcast
 
 
 def leak_spans(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", n: int = 25) -> DataFrame:
     """(key, item_key, word_start, word_end): merged spans of at least ``n`` words of a passage.
 
-    The passages are a stated query set: they are sent to the executors in
-    blocks of at most ``BLOCK_WORDS`` words, each block against all rows.
+    The passages are a stated query set.  They are numbered once on the driver
+    and sent to the executors in blocks of at most ``BLOCK_WORDS`` words, each
+    block against all rows.
     """
     spark = corpus.sparkSession
     kind, item_kind = corpus.schema[key].dataType, items.schema[item_key].dataType
-    result, block, size = None, [], 0
+    out_item = to_arrow_type(item_kind)
 
-    def run(block: list[tuple[object, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def run(block: Passages) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block.packed())
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = Passages(sent.value, n)
-            names = [i for i, _ in sent.value]
+            passages = _KEPT.get(id(sent.value))
+            if passages is None:
+                _KEPT.clear()
+                passages = _KEPT[id(sent.value)] = Windows(*sent.value)
             get = passages.number.get
-            docs, keys, size = [], [], 0
+            docs, keys, size, out_key = [], [], 0, pa.string()
 
             def flush() -> pa.RecordBatch:
-                hits = list(_scan(passages, docs)) if docs and len(passages.patterns) else []
-                return pa.RecordBatch.from_pydict({key: pa.array([keys[r] for r, *_ in hits]) if hits else pa.array([], out_key), item_key: pa.array([names[i] for _, i, *_ in hits]) if hits else pa.array([], out_item), "word_start": pa.array([a for *_, a, _ in hits], pa.int32()), "word_end": pa.array([b for *_, b in hits], pa.int32())})
+                hits = list(_scan(passages, docs)) if len(passages.starts) else []
+                columns = [pa.array([keys[r] for r, *_ in hits], out_key), pa.array([i for _, i, *_ in hits], out_item), pa.array([a for *_, a, _ in hits], pa.int32()), pa.array([b for *_, b in hits], pa.int32())]
+                return pa.RecordBatch.from_arrays(columns, names=[key, item_key, "word_start", "word_end"])
 
-            out_key, out_item = pa.string(), pa.string()
             for b in batches:
                 out_key = b.schema.field(0).type
-                out_item = pa.infer_type(names) if names else pa.int64()
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     w = words(t)
                     if len(w) < n:
@@ -232,13 +259,13 @@ def leak_spans(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", text
 
         return corpus.select(F.col(key), F.col(text)).mapInArrow(search, f"`{key}` {kind.simpleString()}, `{item_key}` {item_kind.simpleString()}, word_start int, word_end int")
 
+    result, block = None, Passages(n)
     for r in items.select(item_key, passage).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len((r[1] or "").split())
-        if size >= BLOCK_WORDS:
+        block.add(r[0], r[1])
+        if block.size >= BLOCK_WORDS:
             result = run(block) if result is None else result.unionByName(run(block))
-            block, size = [], 0
-    if block or result is None:
+            block = Passages(n)
+    if block.size or result is None:
         result = run(block) if result is None else result.unionByName(run(block))
     return result
 

@@ -2,9 +2,10 @@
 
 Each spelling is read into its fields: surname, given name, initials, nickname;
 an organisation into its words without abbreviations, its place, its acronym.
-Persons of one surname are compared where they share an initial that one of
-them can stand for; surnames one slip apart are found by leaving a letter out
-of each, which misses none.  Organisations come from suffix blocking: suffixes
+Persons of one surname are compared where both state a given name that one can
+stand for, or one of them only an initial that the other can have; so a common
+surname's many given names are never all compared with each other.  Surnames one
+slip apart are found by leaving a letter out of each, which misses none.  Organisations come from suffix blocking: suffixes
 of each word above a minimum length are indexed, refined by place, beside the
 words with one of them damaged.  No key is discarded for being common: equal
 fields are one class first, so a block holds different fields only.  Pairs are
@@ -279,10 +280,24 @@ def shortened(word: str, most: int = 1) -> set[str]:
     return out
 
 
-def block_keys(n: Name, lists: Lists) -> set[str]:
-    """The keys of one spelling; none is ever discarded.  Persons of one surname; misspelled surnames go by ``near_surnames``."""
+def block_keys(n: Name, lists: Lists) -> set[tuple[str, bool]]:
+    """The keys of one spelling, none of which is ever discarded, and whether two spellings of that flag aren't compared by it.
+
+    Persons of one surname: a given name has its own keys and, flagged, those
+    of its initials; misspelled surnames go by ``near_surnames``.
+    """
     if n.kind == "person":
-        return {f"p|{n.surname}|{f}" for f in firsts(n, lists)} if n.surname else set()
+        if not n.surname:
+            return set()
+        whole = len(n.given) > 1
+        keys = {(f"p|{n.surname}|{f}", whole) for f in firsts(n, lists)}
+        if whole:
+            keys |= {(f"g|{n.surname}|{g}", False) for g in {n.given, *lists.stands_for(n.given), *([n.nick] if n.nick else [])}}
+        return keys
+    return {(k, False) for k in _org_keys(n)}
+
+
+def _org_keys(n: Name) -> set[str]:
     keys = set()
     if n.acronym and len(n.acronym) >= 3:
         keys.add(f"a|{n.acronym}|{n.place}")
@@ -300,26 +315,21 @@ def block_keys(n: Name, lists: Lists) -> set[str]:
     return keys
 
 
-def _learn(names: DataFrame) -> Lists:
+def _learn(members: DataFrame) -> Lists:
     """Given names and nicknames that stand in enough spellings; at most ``1 / MIN_SHARE`` of each."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(n.given, n.nick) for t in b.column(0).to_pylist() if (n := read_name(t)) and n.kind == "person" and len(n.given) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], names=["given", "nick"])
-
-    read_rows = names.select("name").mapInArrow(read, "given string, nick string")
-    counts = read_rows.groupBy("given", "nick").agg(F.count("*").alias("n"))
-    total = names.count()
-    least = max(2, int(total * MIN_SHARE))
+    f = F.split("fields", "\x1f")
+    stated = members.select(f[0].alias("kind"), f[2].alias("given"), f[4].alias("nick")).where("kind = 'person' and length(given) > 1")
+    counts = settle(stated.groupBy("given", "nick").agg(F.count("*").alias("n")), "name-given")
+    least = max(2, int(members.count() * MIN_SHARE))
     given: dict[str, int] = {}
     pairs: dict[str, list[str]] = {}
-    for g, k, n in counts.where(f"n >= {least}").collect():
+    rows = [tuple(r) for r in counts.where(f"n >= {least}").collect()]
+    for g, k, n in rows:
         if not k:
             given[g] = given.get(g, 0) + n
     top = max(given.values(), default=0)
-    for g, k, n in counts.where(f"nick <> '' and n >= {least}").collect():
-        if given.get(g, 0) >= top * 0.1 and k != g:
+    for g, k, _ in rows:
+        if k and given.get(g, 0) >= top * 0.1 and k != g:
             pairs.setdefault(k, []).append(g)
     return Lists(given, pairs)
 
@@ -329,9 +339,39 @@ def link_names(spellings: DataFrame) -> DataFrame:
 
     ``spellings`` has one column ``name``, one row for each occurrence.
     """
+    members, linked = _linked(spellings)
+    x, y = (members.select(F.col("fields").alias(f"fields_{k}"), F.col("name").alias(f"_{k}")) for k in "ab")
+    both = linked.join(x, "fields_a").join(y, "fields_b").where("fields_a <> fields_b or _a < _b")
+    return both.select(F.least("_a", "_b").alias("name_a"), F.greatest("_a", "_b").alias("name_b")).distinct()
+
+
+def name_classes(spellings: DataFrame) -> DataFrame:
+    """(name, class_id, links): every spelling, the class of spellings with equal fields, and with how many other spellings it is linked.
+
+    Linked classes stand in for their members, so no pair of members is formed.
+    """
+    members, linked = _linked(spellings)
+    size = members.groupBy("fields").agg(F.count("*").alias("_n"))
+    both = linked.where("fields_a <> fields_b").select("fields_a", "fields_b").union(linked.where("fields_a <> fields_b").select("fields_b", "fields_a")).distinct()
+    other = both.join(size.withColumnRenamed("fields", "fields_b"), "fields_b").groupBy(F.col("fields_a").alias("fields")).agg(F.sum("_n").alias("_other"))
+    own = linked.where("fields_a = fields_b").select(F.col("fields_a").alias("fields"), F.lit(1).alias("_own")).distinct()
+    each = size.join(other, "fields", "left").join(own, "fields", "left").withColumn("links", F.coalesce("_other", F.lit(0)) + F.when(F.col("_own").isNotNull(), F.col("_n") - 1).otherwise(0))
+    return members.join(each, "fields").select("name", F.sha2("fields", 256).alias("class_id"), "links")
+
+
+def _linked(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spellings with their fields, and the pairs of fields that are linked."""
     spark = spellings.sparkSession
-    names = settle(spellings.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("rows")), "name-spellings")
-    lists = _learn(names)
+    names = spellings.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("rows"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = [n and n.packed() for n in map(read_name, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fields, pa.string())], names=["name", "rows", "fields"])
+
+    # spellings of equal fields are one class until the pairs are formed
+    members = settle(names.mapInArrow(read, "name string, rows bigint, fields string").where("fields is not null"), "name-fields")
+    lists = _learn(members)
     sent = spark.sparkContext.broadcast((lists.given, lists.nicknames))  # at most 2 / MIN_SHARE names
     kept: dict[str, Lists] = {}
 
@@ -340,18 +380,13 @@ def link_names(spellings: DataFrame) -> DataFrame:
             kept["l"] = Lists(*sent.value)
         return kept["l"]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fields = [n and n.packed() for n in map(read_name, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fields, pa.string())], names=["name", "rows", "fields"])
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys = [], []
+            at, keys, apart = [], [], []
             for i, t in enumerate(b.column(0).to_pylist()):
-                for k in block_keys(unpacked(t), learned()):
-                    at.append(i), keys.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["fields", "key"])
+                for k, flag in block_keys(unpacked(t), learned()):
+                    at.append(i), keys.append(k), apart.append(flag)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(apart, pa.bool_())], names=["fields", "key", "apart"])
 
     def initials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,12 +404,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
             ok = [agree(fields(x), fields(y), learned()) for x, y in zip(batch.column("fields_a").to_pylist(), batch.column("fields_b").to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    # spellings of equal fields are one class until the pairs are formed
-    members = settle(names.mapInArrow(read, "name string, rows bigint, fields string").where("fields is not null"), "name-fields")
     classes = members.groupBy("fields").agg((F.count("*") == 1).alias("single"), F.sum("rows").alias("rows"))
-    keyed = settle(classes.select("fields").mapInArrow(index, "fields string, key string"), "name-keys")
+    keyed = settle(classes.select("fields").mapInArrow(index, "fields string, key string, apart boolean"), "name-keys")
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key and a.fields <= b.fields")).select(F.col("a.fields").alias("fields_a"), F.col("b.fields").alias("fields_b")).distinct()
+    pairs = a.join(b, F.expr("a.key = b.key and a.fields <= b.fields and (a.fields = b.fields or not (a.apart and b.apart))")).select(F.col("a.fields").alias("fields_a"), F.col("b.fields").alias("fields_b")).distinct()
     same = settle(pairs.mapInArrow(compare, pairs.schema), "name-same")
 
     persons = settle(classes.select("fields").mapInArrow(initials, "fields string, surname string, first string"), "name-initials")
@@ -393,9 +426,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
         pair = slips.groupBy("surname_a", "surname_b", "exchanged").agg(F.count_distinct(f"fields_{slip}").alias("agreeing"))
         pair = pair.join(s, f"surname_{slip}").join(o, f"surname_{other}").where(f"agreeing = c and (not v or r * if(exchanged, 1, {RARER}) <= t)")
         linked = linked.unionAll(slips.join(pair.select("surname_a", "surname_b"), ["surname_a", "surname_b"], "left_semi").select("fields_a", "fields_b"))
-    x, y = (members.select(F.col("fields").alias(f"fields_{k}"), F.col("name").alias(f"_{k}")) for k in "ab")
-    both = linked.join(x, "fields_a").join(y, "fields_b").where("fields_a <> fields_b or _a < _b")
-    return both.select(F.least("_a", "_b").alias("name_a"), F.greatest("_a", "_b").alias("name_b")).distinct()
+    return members, linked
 
 
 def near_surnames(surnames: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from docsieve.llm.canonical import normalize_text
 from docsieve.llm.languages import fit_model, label_documents, language_cases
 from docsieve.llm.leaks import leak_spans, leaks
 from docsieve.llm.matching import match_records
-from docsieve.llm.name_links import link_names
+from docsieve.llm.name_links import link_names, name_classes
 from docsieve.llm.packing import bucket_report, containers
 from docsieve.llm.personal import find_personal, learn_given, pseudonymise, redact_personal
 from docsieve.llm.same_look import same_look_classes, same_look_pairs
@@ -61,7 +61,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, n_chars, shared_chars): how much of each document is shared elsewhere."""
     parsed = table(spark, sf_dir, "parsed_documents", "id", "sections")
-    size = paragraphs(parsed).distinct().groupBy("document_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
+    each = paragraphs(parsed).groupBy("document_id", "section_no", "paragraph_no").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))  # deliveries of one record
+    size = each.groupBy("document_id").agg(F.sum("n").alias("n_chars"))
     shared = shared_by_paragraph(parsed).groupBy("document_id").agg(F.sum("shared_chars").alias("shared_chars"))
     return size.join(shared, "document_id", "left").na.fill(0, ["shared_chars"])
 
@@ -118,6 +119,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(_spellings(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, class_id, links): every spelling with its class and its number of links."""
+    return name_classes(_spellings(spark, sf_dir))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(container_id, doc_id, part, token_start, token_end, n_tokens, bucket): documents combined into containers of 2,048 tokens."""
     return containers(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
@@ -153,5 +159,5 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_text(table(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_pseudonyms": p1_pseudonyms, "p6_found": p6_found, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_pseudonyms": p1_pseudonyms, "p6_found": p6_found, "p6_classes": p6_classes, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
 SQL: dict[str, str] = {}

@@ -14,8 +14,8 @@ by code point, within one paragraph of another document.
    streamed with each context for matching statistics: how far back from each
    position the text stands in another document too.
 4. A shard of more than ``SHARD`` different contexts is not built in one task:
-   its windows of ``length`` characters are grouped by their hash instead,
-   which finds the same positions by a plain aggregation.
+   its windows of ``length`` characters are grouped by a hash of 128 bits
+   instead, which finds the same positions by a plain aggregation.
 5. Maximal stretches at or above the threshold are joined to their paragraphs
    and merged.
 
@@ -260,7 +260,11 @@ def paragraphs(parsed: DataFrame) -> DataFrame:
 
 
 def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(group, keys.., span_start, span_end): spans of a text that stand in a text of another ``group``; they may overlap."""
+    """(group, keys.., _spans): the spans (span_start, span_end) of a text that stand in a text of another ``group``; they may overlap.
+
+    Repeated rows need not be removed before: they are one text of one group,
+    and only their contexts are compared.
+    """
     named = texts.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, *keys, F.col(text).alias("_t"))
     long = named.where(F.length("_t") >= length).withColumn("_doc", F.xxhash64(group)).withColumn("_par", F.xxhash64(group, *keys, "_t"))
 
@@ -282,7 +286,7 @@ def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, le
         F.expr("w._first - r._from").alias("_c0"), F.expr("w._last - r._from").alias("_c1"), F.expr("substring(_t, r._from + 1, r._to - r._from)").alias("_ctx"),
     )
     ctx = settle(ctx.distinct().withColumn("_key", F.xxhash64("_chain", "_ctx", "_c0")), "span-contexts")
-    different = ctx.repartition("_chain").groupBy("_chain", "_key").agg(F.first(F.struct("_ctx", "_c0", "_c1")).alias("x"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi"))
+    different = ctx.groupBy("_chain", "_key").agg(F.first(F.struct("_ctx", "_c0", "_c1")).alias("x"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi"))
     different = settle(different.select("_chain", "_key", "x._ctx", "_lo", "_hi", "x._c0", "x._c1"), "span-shards")
     big = different.groupBy("_chain").count().where(F.col("count") > shard).select("_chain")
     small = different.join(big, "_chain", "left_anti").repartition("_chain").sortWithinPartitions("_chain", "_key")
@@ -306,9 +310,10 @@ def shared_spans(texts: DataFrame, group: str, keys: list[str], text: str, *, le
 
     by_shard = small.mapInArrow(automata, "_chain bigint, _key bigint, _a int, _b int")
     windows = different.join(big, "_chain", "left_semi").where(F.length("_ctx") >= length).select("_chain", "_key", "_lo", "_hi", F.explode(F.expr(f"sequence(0, length(_ctx) - {length})")).alias("_a"), "_ctx")
-    windows = windows.select("_chain", "_key", "_lo", "_hi", "_a", F.xxhash64(F.expr(f"substring(_ctx, _a + 1, {length})")).alias("_g"))
-    grams = windows.groupBy("_chain", "_g").agg(F.min("_lo").alias("_x"), F.max("_hi").alias("_y")).where("_x <> _y").select("_chain", "_g")
-    by_gram = windows.join(grams, ["_chain", "_g"], "left_semi").select("_chain", "_key", "_a", (F.col("_a") + length).alias("_b"))
+    window = F.expr(f"substring(_ctx, _a + 1, {length})")
+    windows = windows.select("_chain", "_key", "_lo", "_hi", "_a", F.xxhash64(window).alias("_g"), F.xxhash64(F.lit(1), window).alias("_h"))
+    grams = windows.groupBy("_chain", "_g", "_h").agg(F.min("_lo").alias("_x"), F.max("_hi").alias("_y")).where("_x <> _y").select("_chain", "_g", "_h")
+    by_gram = windows.join(grams, ["_chain", "_g", "_h"], "left_semi").select("_chain", "_key", "_a", (F.col("_a") + length).alias("_b"))
     spans = by_shard.unionByName(by_gram)
     placed = ctx.select("_chain", "_key", "_par", group, *keys, "_from").join(spans, ["_chain", "_key"])
     placed = placed.select("_par", group, *keys, F.struct((F.col("_from") + F.col("_a")).alias("span_start"), (F.col("_from") + F.col("_b")).alias("span_end")).alias("s"))
@@ -344,5 +349,5 @@ _UNION = """aggregate(array_sort(_spans), named_struct('n', 0, 'e', 0),
 
 def shared_by_paragraph(parsed: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(document_id, section_no, paragraph_no, shared_chars) of every paragraph that shares a span."""
-    spans = shared_spans(paragraphs(parsed.select("id", "sections")).distinct(), "document_id", ["section_no", "paragraph_no"], "text", length=length)
+    spans = shared_spans(paragraphs(parsed.select("id", "sections")), "document_id", ["section_no", "paragraph_no"], "text", length=length)
     return spans.select("document_id", "section_no", "paragraph_no", F.expr(_UNION).alias("shared_chars")).groupBy("document_id", "section_no", "paragraph_no").agg(F.max("shared_chars").alias("shared_chars"))

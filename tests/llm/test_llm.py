@@ -58,7 +58,7 @@ def test_fm_index_against_brute_force():
         k = int(rng.integers(1, 5))
         patterns = np.unique(rng.integers(1, 5, (20, k)), axis=0)
         index = leaks.FMIndex(s)
-        found, lo, hi = index.search(patterns)
+        found, lo, hi = index.search(patterns.ravel(), np.arange(len(patterns)) * k, k)
         got = {tuple(patterns[p]): sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(found, lo, hi)}
         seq = s.tolist()
         want = {tuple(p): w for p in patterns.tolist() if (w := [i for i in range(len(seq) - k + 1) if seq[i : i + k] == p])}
@@ -72,6 +72,23 @@ def test_leaks(spark):
     items = spark.createDataFrame([(9, passage), (8, passage), (7, None), (6, "short")], "item_id bigint, passage string")
     assert sorted(map(tuple, leaks.leaks(docs, items).collect())) == [(1, 8), (1, 9)]
     assert leaks.leaks(docs, items.limit(0)).count() == 0 and leaks.leaks(docs.limit(0), items).count() == 0
+    chinese = "".join(chr(0x4E00 + i) for i in range(60))
+    block = leaks.Passages(25)
+    block.add(1, chinese), block.add(2, "short"), block.add(3, chinese)
+    assert block.size == 60 and block.holders == [[1, 3]]  # each ideograph counts, equal passages once
+    cjk = spark.createDataFrame([(5, "x" + chinese[10:40])], "doc_id bigint, text string")
+    assert [tuple(r) for r in leaks.leak_spans(cjk, spark.createDataFrame([("q", chinese)], "item_id string, passage string")).collect()] == [(5, "q", 1, 31)]
+
+
+def test_leak_blocks_give_the_same_result(spark, monkeypatch):
+    rng = random.Random(4)
+    passages = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(40))) for i in range(12)]
+    docs = [(i, " ".join([*(rng.choice("abcdefgh") * 3 for _ in range(10)), *passages[i % 12][1].split()[rng.randint(0, 9) :]])) for i in range(30)]
+    d, p = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, passage string")
+    want = sorted((i, j) for i, t in docs for j, q in passages if any(" ".join(q.split()[k : k + 25]) in t for k in range(16)))
+    assert sorted(map(tuple, leaks.leaks(d, p).collect())) == want
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
+    assert sorted(map(tuple, leaks.leaks(d, p).collect())) == want
 
 
 def test_shards_and_hot_shards_against_brute_force(spark):
@@ -364,3 +381,22 @@ def test_language_sample_is_bounded(spark):
     got = languages.label_documents(parsed, fitted).collect()
     assert len(got) == 60 and {r.lang for r in got} == {"en"}
     assert languages.label_documents(parsed.limit(0), languages.fit_model(parsed.limit(0))).count() == 0
+
+
+def test_name_classes_count_the_pairs(spark):
+    df = spark.createDataFrame([(n,) for n in ["Robert Tosvaano", "Tosvaano, R.", "TOSVAANO Robert", "Maria Holmstad", "Holmstad, M.", "Wei Zhang", "Wen Zhang", "Zhang, W.", None, ""]], "name string")
+    pairs = [n for r in name_links.link_names(df).collect() for n in r]
+    assert {r.name: r.links for r in name_links.name_classes(df).collect()} == {n: pairs.count(n) for (n,) in df.collect() if n}
+    assert "Zhang, W." in pairs and pairs.count("Wei Zhang") == 1
+    assert name_links.name_classes(df.limit(0)).count() == 0
+
+
+def test_a_hot_surname_is_never_compared_with_itself_whole(spark):
+    given = [a + b + c for a in "bdfglm" for b in "aeiou" for c in ("rin", "lof", "mar", "sten")]
+    lists = name_links.Lists({}, {})
+    keyed = [(k, i, flag) for i, g in enumerate(given) for k, flag in name_links.block_keys(name_links.read_name(f"{g.title()} Zhang"), lists)]
+    blocks = {}
+    for k, i, flag in keyed:
+        blocks.setdefault(k, []).append((i, flag))
+    compared = sum(1 for x in blocks.values() for a in x for b in x if a[0] < b[0] and not (a[1] and b[1]))
+    assert compared < len(given)  # 120 given names of one surname: not one pair for each two of them
