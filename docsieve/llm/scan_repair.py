@@ -8,9 +8,11 @@ Works one document at a time, with a vocabulary counted over the whole corpus:
 * words hyphenated across lines are joined; the vocabulary decides whether the
   hyphen belongs to the word;
 * misread characters: a Levenshtein automaton of one error (substitution,
-  insertion, deletion, and the merges and splits that scanners make) is
-  intersected with a trie of the vocabulary, which retrieves every candidate;
-  frequency, the kind of misreading and the document's own words rank them;
+  insertion, deletion, and the merges and splits that scanners make), or of two
+  known misreadings in a longer word, is intersected with a trie of the
+  vocabulary, which retrieves every candidate; frequency, the kind of
+  misreading, the document's own words and, where candidates are close, the
+  words that stand beside them elsewhere in the document rank them;
 * the rest is reflowed into paragraphs.
 
 The vocabulary goes to the executors.  It holds the words with at least
@@ -26,14 +28,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.sources.settle import settle
+
 MIN_SHARE = 1e-6
 MIN_COUNT = 3
+TWICE = 8  # letters of a word in which two misreadings are looked for
 MIN_HEADER = 16  # letters of a header that is known without the title
 ESTABLISHED = 4e-5  # of all occurrences: share of a word that stands on its own beside a hyphen
 RARER = 40  # a word of the vocabulary is taken for a misreading if a look-alike is so many times as frequent
@@ -140,14 +146,54 @@ class Vocabulary:
             self.cache[word] = list(found.items())
         return list(found.items())
 
-    def correct(self, word: str, local: Counter | None = None) -> str | None:
-        """The word that ``word`` is a misreading of, or None."""
+    def candidates_twice(self, word: str) -> list[tuple[str, float]]:
+        """All words that two known misreadings in different places lead to."""
+        key = "2" + word
+        if key in self.cache:
+            return self.cache[key]
+        found: dict[str, float] = {}
+
+        def go(node: dict | None, at: int, left: int) -> None:
+            """Walk the rest of the word from ``at`` with ``left`` misreadings to come."""
+            while node is not None:
+                if left:
+                    for size in (1, 2, 3):
+                        if at + size <= len(word):
+                            for true in _BY_SEEN.get(word[at : at + size], ()):
+                                go(self._walk(node, true), at + size, left - 1)
+                if at == len(word):
+                    if not left and "" in node and node[""] != word:
+                        found[node[""]] = 0.0
+                    return
+                node = node.get(word[at])
+                at += 1
+
+        go(self.root, 0, 2)
+        if len(self.cache) < 200_000:
+            self.cache[key] = list(found.items())
+        return list(found.items())
+
+    def correct(self, word: str, local: Counter | None = None, beside: Callable[[str, str], int] | None = None) -> str | None:
+        """The word that ``word`` is a misreading of, or None; ``beside(word, candidate)``: how often the candidate stands next to the word's neighbours."""
         n = self.counts.get(word, 0)
         odd = not word.replace("-", "").replace("’", "").replace("'", "").isalpha() or any(c in "ﬀﬁﬂﬃﬄ" for c in word)
         if n * RARER > self.most:
             return None  # no look-alike can be so many times as frequent
-        best, best_score = None, 0.0
-        for w, cost in self.candidates(word):
+        ranked = self._ranked(word, self.candidates(word), n, odd, local)
+        if not ranked and not n and len(word) >= TWICE:
+            ranked = self._ranked(word, self.candidates_twice(word), n, odd, local)
+        if not ranked:
+            return None
+        best = max(ranked)
+        if beside:
+            close = [(score, w) for score, w in ranked if score >= best[0] - 3.0]
+            if len(close) > 1:
+                best = max((score + 2.0 * min(beside(word, w), 2), w) for score, w in close)
+        return best[1]
+
+    def _ranked(self, word: str, candidates: list[tuple[str, float]], n: int, odd: bool, local: Counter | None) -> list[tuple[float, str]]:
+        out = []
+        for w, cost in candidates:
             c = self.counts[w]
             if n and c < RARER * n:
                 continue
@@ -155,10 +201,8 @@ class Vocabulary:
                 continue
             if len(w) < 3 or (len(w) < 4 and not odd):
                 continue
-            score = 1.0 + _log2(c) - 6.0 * cost + (2.0 if local and local.get(w) else 0.0)
-            if best is None or (score, w) > (best_score, best):
-                best, best_score = w, score
-        return best
+            out.append((1.0 + _log2(c) - 6.0 * cost + (2.0 if local and local.get(w) else 0.0), w))
+        return out
 
 
 def _log2(n: int) -> float:
@@ -169,14 +213,18 @@ def _fold(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+@lru_cache(maxsize=4096)
+def _cuts(text: str, n: int) -> list[str]:
+    """``text`` in ``n`` pieces."""
+    return [text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n)]
+
+
 def _distance(a: str, b: str, limit: int) -> int:
-    """Levenshtein distance, cut off above ``limit``."""
+    """Levenshtein distance, cut off above ``limit``.  Of ``limit`` + 1 pieces of one text the other holds at least one unchanged."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit:
+    if abs(len(a) - len(b)) > limit or len(b) > limit and not any(p in a for p in _cuts(b, limit + 1)):
         return limit + 1
-    if len(a) > 12 and sum(x == y for x, y in zip(a[:5], b[:5], strict=False)) < 2 and sum(x == y for x, y in zip(a[-5:], b[-5:], strict=False)) < 2:
-        return limit + 1  # two misread characters at most in either end of a header
     row = list(range(len(b) + 1))
     for i, ca in enumerate(a, 1):
         prev, row[0] = row[0], i
@@ -347,7 +395,26 @@ def _own_hyphen(left: str, right: str, mark: str, vocabulary: Vocabulary) -> str
     return joined
 
 
-def repair(text: str, furniture: Furniture, vocabulary: Vocabulary, local: Counter | None = None, pages: set[int] | None = None) -> Repaired:
+class Neighbours:
+    """Which words stand beside each other in a document; counted when first asked for."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.texts, self.pairs, self.near = texts, None, {}
+
+    def beside(self, word: str, candidate: str) -> int:
+        """How often ``candidate`` stands elsewhere in the document before or after a neighbour of ``word``."""
+        if self.pairs is None:
+            self.pairs = Counter()
+            for t in self.texts:
+                tokens = [_EDGE.sub("", x) for x in (t or "").lower().split()]
+                for pair in zip(tokens, tokens[1:], strict=False):
+                    self.pairs[pair] += 1
+                    self.near.setdefault(pair[0], set()).add((1, pair[1]))
+                    self.near.setdefault(pair[1], set()).add((0, pair[0]))
+        return sum(self.pairs[(candidate, x) if after else (x, candidate)] for after, x in self.near.get(word, ()))
+
+
+def repair(text: str, furniture: Furniture, vocabulary: Vocabulary, local: Counter | None = None, pages: set[int] | None = None, neighbours: Neighbours | None = None) -> Repaired:
     """Repair one paragraph."""
     defects: list[tuple[str, str]] = []
     if "\n" in text:
@@ -405,7 +472,7 @@ def repair(text: str, furniture: Furniture, vocabulary: Vocabulary, local: Count
             continue
         if word != word.lower() or not re.search(r"[^\W\d_]{2}", word) or sum(c.isdigit() for c in word) > 1 or "/" in word or "." in word:
             continue
-        right = vocabulary.correct(word, local)
+        right = vocabulary.correct(word, local, neighbours.beside if neighbours else None)
         if right and right != word:
             fixed[word] = right
     for w in joins:
@@ -427,7 +494,7 @@ def repair(text: str, furniture: Furniture, vocabulary: Vocabulary, local: Count
 def vocabulary_of(parsed: DataFrame) -> Vocabulary:
     """The words of all sections and abstracts that are frequent enough; at most ``1 / MIN_SHARE`` of them."""
     texts = parsed.select(F.explode(F.expr("concat(array(abstract), flatten(transform(coalesce(sections, array()), s -> transform(coalesce(s.paragraphs, array()), p -> p.text))))")).alias("t")).where("t is not null")
-    counts = word_counts(texts, "t").where(f"n >= {MIN_COUNT}")
+    counts = settle(word_counts(texts, "t").where(f"n >= {MIN_COUNT}"), "word-counts")
     rows = counts.groupBy().agg(F.sum("n")).collect()[0][0] or 0
     least = max(MIN_COUNT, int(rows * MIN_SHARE))
     return Vocabulary({r[0]: r[1] for r in counts.where(f"n >= {least}").toLocalIterator()})
@@ -459,10 +526,11 @@ def repair_documents(parsed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     continue
                 furniture = Furniture(row["title"], row["authors"], [t for _, _, t, _ in places])
                 local = Counter(w for _, _, t, _ in places if t for w in _WORD.findall(t.lower()))
+                neighbours = Neighbours([t for _, _, t, _ in places])
                 numbers = {p + d for *_, p in places if p is not None for d in (-1, 0, 1, 2)}
                 for s, n, t, page in places:
                     if t and t.strip():
-                        r = repair(t, furniture, words, local, numbers)
+                        r = repair(t, furniture, words, local, numbers, neighbours)
                         out.append((row["id"], s, n, r.text, [{"kind": k, "item": i} for k, i in r.defects]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string())])))],

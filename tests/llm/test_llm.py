@@ -400,3 +400,35 @@ def test_a_hot_surname_is_never_compared_with_itself_whole(spark):
         blocks.setdefault(k, []).append((i, flag))
     compared = sum(1 for x in blocks.values() for a in x for b in x if a[0] < b[0] and not (a[1] and b[1]))
     assert compared < len(given)  # 120 given names of one surname: not one pair for each two of them
+
+
+def test_two_misreadings_and_context():
+    words = dict.fromkeys("information significant clinical moisture the of was content barley bailey field harvest".split(), 500)
+    v = scan_repair.Vocabulary(words)
+    assert [v.correct(x) for x in ("inforrnatlon", "slgnlficant", "cliriical", "information")] == ["information", "significant", "clinical", None]
+    f = scan_repair.Furniture(None, None)
+    v = scan_repair.Vocabulary({**words, "field": 400, "yield": 900, "the": 90_000})
+    texts = ["the harvest of the bar1ey field", "the barley field was moist"]
+    assert scan_repair.repair(texts[0], f, v, None, None, scan_repair.Neighbours(texts)).text == "the harvest of the barley field"
+    assert scan_repair.Neighbours(texts).beside("bar1ey", "barley") >= 2 and scan_repair.Neighbours([None, ""]).beside("x", "y") == 0
+
+
+def test_header_distance_is_exact():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 7)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+        a, b, limit = "".join(a), "".join(b), rng.randint(1, 5)
+        assert min(scan_repair._distance(a, b, limit), limit + 1) == min(plain(a, b), limit + 1)
