@@ -102,14 +102,28 @@ def excerpt_around(text: Column, marker: Column, radius: int = 260) -> Column:
     return F.when((at == 0) | (F.length(text) <= 2 * radius), text).otherwise(cut)
 
 
+WORD = r"[\p{L}\p{N}_'-]+"
+
+
+def word_excerpt(text: Column, start: Column, count: Column) -> Column:
+    """The text from the first to the last of ``count`` words, the first being number ``start`` from 0, as it stands."""
+    m = matches_with_offsets(text, WORD)
+    first, last = F.try_element_at(m, (start + 1).cast("int")), F.try_element_at(m, F.least(start + count, F.size(m)).cast("int"))
+    return F.substr(text, first["at"] + 1, last["at"] + F.length(last["m"]) - first["at"])
+
+
 def repair_decimals(text: Column) -> Column:
     """'0 .05' becomes '0.05'."""
     return F.regexp_replace(text, r"(?<=\d)\s+\.\s*(?=\d)", ".")
 
 
+# Fixed values of the result contract: what may stand before a DOI.
+DOI_LEAD = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
+
+
 def doi(value: Column) -> Column:
     """Bare lower-cased DOI; empty becomes null."""
-    return F.nullif(F.lower(F.regexp_replace(F.trim(value), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(F.trim(value), DOI_LEAD, "")), F.lit(""))
 
 
 def general(number: Column) -> Column:

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import words
+from docsieve.sources.settle import settle
+
+BROADCAST_GRAMS = 2_000_000  # 8 bytes each
 
 
 def maximal_runs(a: list[str], b: list[str], k: int) -> list[tuple[int, int, int]]:
@@ -73,13 +76,26 @@ def rare_anchors(subjects: DataFrame, keys: list[str], df: DataFrame, n_blocks:
 
 
 def reuse_candidates(subjects: DataFrame, keys: list[str], sources: DataFrame, source_key: str, *, text: str = "text", source_text: str = "text") -> DataFrame:
-    """(keys.., source_key): pairs that share a rare anchor."""
+    """(keys.., source_key): pairs that share a rare anchor.  An anchor stands in at most max(20, sources / 10) sources and a block has twelve."""
     src = postings(sources, [source_key], source_text)
     df = src.groupBy("token").agg(F.count("*").alias("df"))
     anchors = rare_anchors(subjects, keys, df, sources.count(), text=text)
     return anchors.join(src, "token").select(*keys, source_key).distinct()
 
 
+def reuse_pairs(subjects: DataFrame, keys: list[str], sources: DataFrame, source_key: str, *, text: str = "text", source_text: str = "text", k: int = 10) -> DataFrame:
+    """(keys.., source_key): candidates that can hold a run: those with ``k`` words in a row in common and a rare anchor.
+
+    The common grams come first, so the anchors, of which every block shares
+    some with many sources, are looked up for few pairs only.
+    """
+    some = gram_pairs(subjects, keys, sources, source_key, text=text, source_text=source_text, k=k)
+    src = postings(sources, [source_key], source_text)
+    df = src.groupBy("token").agg(F.count("*").alias("df"))
+    anchors = rare_anchors(subjects.join(some.select(*keys).distinct(), keys, "left_semi"), keys, df, sources.count(), text=text)
+    return some.join(anchors, keys).join(src, [source_key, "token"], "left_semi").select(*keys, source_key).distinct()
+
+
 def gram_pairs(subjects: DataFrame, keys: list[str], sources: DataFrame, source_key: str, *, text: str = "text", source_text: str = "text", k: int = 10) -> DataFrame:
     """(keys.., source_key): pairs with ``k`` words in a row in common; only these can hold a matching block."""
 
@@ -88,7 +104,12 @@ def gram_pairs(subjects: DataFrame, keys: list[str], sources: DataFrame, source_
         g = F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.xxhash64(F.slice("_w", i, k)))
         return w.select(*cols, F.explode(F.array_distinct(g)).alias("_g"))
 
-    return grams(subjects, keys, text).join(grams(sources, [source_key], source_text), "_g").select(*keys, source_key).distinct()
+    theirs = settle(grams(sources, [source_key], source_text), "source-grams")
+    known = theirs.select("_g").distinct()
+    mine = grams(subjects, keys, text)
+    if known.count() <= BROADCAST_GRAMS:  # the subjects' other grams never leave their task
+        mine = mine.join(F.broadcast(known), "_g", "left_semi")
+    return mine.join(theirs, "_g").select(*keys, source_key).distinct()
 
 
 def aligned_runs(pairs: DataFrame, left: str, right: str, k: int = 10) -> DataFrame:
@@ -113,3 +134,32 @@ def aligned_runs(pairs: DataFrame, left: str, right: str, k: int = 10) -> DataFr
 def reuse_confidence(size, left, right):
     """0.6 + 0.4 * size / longer text, at most 0.99, three places."""
     return F.round(F.least(F.lit(0.99), 0.6 + 0.4 * size / F.greatest(left, right)), 3)
+
+
+PAIR_WORDS = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)?"
+
+
+def compare_texts(pairs: DataFrame, keys: list[str], left: str, right: str, k: int = 12) -> DataFrame:
+    """(keys.., place, matched_words, severity, confidence, subject_excerpt, source_excerpt): runs of at least ``k`` words that two texts share.
+
+    Words are runs of Latin letters and digits with one inner apostrophe or
+    hyphen, compared without case; ``place`` orders a pair's runs, the longest
+    first, then as they stand.  Null texts share nothing.
+    """
+    w = pairs.select(*keys, F.regexp_extract_all(left, F.lit(PAIR_WORDS), F.lit(0)).alias("_l"), F.regexp_extract_all(right, F.lit(PAIR_WORDS), F.lit(0)).alias("_r")).where(f"size(_l) >= {k} and size(_r) >= {k}")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in w.schema.fields[: len(keys)])
+    names = [*keys, "place", "matched_words", "subject_excerpt", "source_excerpt"]
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
+        for b in batches:
+            at, place, size_, xs, ys = [], [], [], [], []
+            for r, (x, y) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
+                blocks = matching_blocks([t.lower() for t in x], [t.lower() for t in y], k)
+                for p, (i, j, size) in enumerate(sorted(blocks, key=lambda m: -m[2]), 1):
+                    at.append(r), place.append(p), size_.append(size), xs.append(" ".join(x[i : i + size])), ys.append(" ".join(y[j : j + size]))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in range(n)], pa.array(place, pa.int32()), pa.array(size_, pa.int32()), pa.array(xs, pa.string()), pa.array(ys, pa.string())], names=names)
+
+    runs = w.mapInArrow(align, f"{kinds}, place int, matched_words int, subject_excerpt string, source_excerpt string")
+    return runs.withColumn("severity", F.when(F.col("matched_words") >= 25, "high").otherwise("medium")).withColumn("confidence", F.least(F.lit(0.99), 0.65 + F.col("matched_words") / 100))

@@ -76,12 +76,3 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[s
 def purge(assets: DataFrame, roles: list[str]) -> DataFrame:
     """Assets of temporary roles that aren't purged yet, marked purged."""
     return assets.where(F.col("role").isin(roles) & (F.col("retention_state") != "purged")).withColumn("retention_state", F.lit("purged"))
-
-
-def public_url(url: Column) -> Column:
-    """Whether a URL may be fetched: http or https, a host that is no private address, no user information."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(authority, r":\d*$", ""))
-    private = host.rlike(r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|22[4-9]\.|2[3-5]\d\.)") | host.isin("localhost", "[::1]") | host.rlike(r"^\[(?:fc|fd|fe8|fe9|fea|feb)")
-    return F.coalesce(scheme.isin("http", "https") & (host != "") & ~F.contains(authority, F.lit("@")) & ~private, F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import stems, words
+from docsieve.sources.settle import settle
 
 
 def stem_bags(df: DataFrame, keys: list[str], text: str, *, at_least: int = 6) -> DataFrame:
@@ -18,16 +19,42 @@ def stem_bags(df: DataFrame, keys: list[str], text: str, *, at_least: int = 6) -
     return sized.where(F.col("_n") >= at_least).select(*keys, "sq", "stem", "tf")
 
 
+def _prefixed(bags: DataFrame, keys: list[str], df: DataFrame, min_score: float, min_shared: int) -> DataFrame:
+    """(keys.., sq, prefix, rest, rest_sq): each text's stems in two parts, the rarer ones that a similar text must hold one of, and the rest.
+
+    Two texts that have no stem of the prefix in common have all common stems
+    among the rest, whose norm is below ``min_score`` of the whole or which are
+    fewer than ``min_shared``; so no similar pair is lost, and the stems of most
+    texts, which would pair all with all, are hardly ever in a prefix.
+    """
+    ranked = bags.join(df, "stem").groupBy(*keys, "sq").agg(F.array_sort(F.collect_list(F.struct("df", "stem", F.col("tf").cast("bigint").alias("tf")))).alias("_s"))  # one text's stems
+    fold = f"""aggregate(reverse(_s), named_struct('sum', cast(0 as bigint), 'n', 0, 'cut', 0),
+     (acc, x) -> if(acc.n = acc.cut and (acc.n < {min_shared - 1} or acc.sum + x.tf * x.tf < {min_score} * {min_score} * sq * 0.999999), named_struct('sum', acc.sum + x.tf * x.tf, 'n', acc.n + 1, 'cut', acc.cut + 1), named_struct('sum', acc.sum, 'n', acc.n + 1, 'cut', acc.cut)), acc -> least(acc.cut, size(_s) - 1))"""
+    cut = ranked.withColumn("_cut", F.expr(fold))
+    rest = F.slice("_s", F.size("_s") - F.col("_cut") + 1, F.col("_cut"))
+    return cut.select(*keys, "sq", F.slice("_s", F.lit(1), F.size("_s") - F.col("_cut")).alias("prefix"), rest.alias("rest")).withColumn("rest_sq", F.aggregate("rest", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"] * x["tf"]))
+
+
 def similar_pairs(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], *, min_score: float = 0.62, min_shared: int = 6) -> DataFrame:
     """(left keys.., right keys.., shared, score) of two bags: cosine at least ``min_score`` over at least ``min_shared`` stems.
 
-    Dot products are exact integers; they are divided last.
+    The rarer stems of the left texts are joined with all of the right; what
+    the rest can add at most decides which pairs are completed.  Dot products
+    are exact integers and are divided last.
     """
-    l = left.select(*[F.col(k) for k in left_keys], F.col("sq").alias("_ls"), "stem", F.col("tf").alias("_lt"))
-    r = right.select(*[F.col(k) for k in right_keys], F.col("sq").alias("_rs"), "stem", F.col("tf").alias("_rt"))
-    both = l.join(r, "stem").groupBy(*left_keys, *right_keys).agg(F.count("*").alias("shared"), F.sum(F.col("_lt") * F.col("_rt")).alias("_dot"), F.first("_ls").alias("_ls"), F.first("_rs").alias("_rs"))
-    score = F.col("_dot") / (F.sqrt(F.col("_ls").cast("double")) * F.sqrt(F.col("_rs").cast("double")))
-    return both.where(F.col("shared") >= min_shared).withColumn("score", score).where(F.col("score") >= min_score).drop("_dot", "_ls", "_rs")
+    both_keys = [*left_keys, *right_keys]
+    df = left.select("stem").unionAll(right.select("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+    l = settle(_prefixed(left, left_keys, df, min_score, min_shared), "similar-left")
+    r = right.select(*right_keys, F.col("sq").alias("_rs"), "stem", F.col("tf").cast("bigint").alias("_rt"))
+    rare = l.select(*left_keys, F.col("sq").alias("_ls"), F.col("rest_sq").alias("_q"), F.size("rest").alias("_m"), F.explode("prefix").alias("_p")).select(*left_keys, "_ls", "_q", "_m", F.col("_p.stem").alias("stem"), F.col("_p.tf").alias("_lt"))
+    part = rare.join(r, "stem").groupBy(*both_keys).agg(F.sum(F.col("_lt") * F.col("_rt")).alias("_dot"), F.count("*").alias("_n"), F.first("_ls").alias("_ls"), F.first("_rs").alias("_rs"), F.first("_q").alias("_q"), F.first("_m").alias("_m"))
+    norm = F.sqrt(F.col("_ls").cast("double")) * F.sqrt(F.col("_rs").cast("double"))
+    able = part.where((F.col("_n") + F.col("_m") >= min_shared) & (F.col("_dot") + F.sqrt(F.col("_q").cast("double")) * F.sqrt(F.col("_rs").cast("double")) >= min_score * norm * 0.999999))
+    bags = right.groupBy(*right_keys).agg(F.map_from_entries(F.collect_list(F.struct("stem", F.col("tf").cast("bigint")))).alias("_bag"))  # one text's stems
+    done = able.join(l.select(*left_keys, "rest"), left_keys).join(bags, right_keys)
+    more = F.filter(F.transform("rest", lambda x: x["tf"] * F.try_element_at(F.col("_bag"), x["stem"])), lambda v: v.isNotNull())
+    done = done.withColumn("_more", more).withColumn("shared", F.col("_n") + F.size("_more")).withColumn("score", (F.col("_dot") + F.aggregate("_more", F.lit(0).cast("bigint"), lambda a, v: a + v)) / norm)
+    return done.where((F.col("shared") >= min_shared) & (F.col("score") >= min_score)).select(*both_keys, "shared", "score")
 
 
 def without_common_run(pairs: DataFrame, texts_left: DataFrame, left_keys: list[str], texts_right: DataFrame, right_keys: list[str], text: str = "text", k: int = 10) -> DataFrame:
@@ -46,6 +73,32 @@ def similarity_confidence(score: Column) -> Column:
     return F.round(F.least(F.lit(0.95), 0.5 + 0.45 * score), 3)
 
 
+def budgeted(subjects: DataFrame, sources: DataFrame, pairs: DataFrame, subject_keys: list[str], source_keys: list[str], *, budget: int = 50_000) -> DataFrame:
+    """The pairs that fall within a comparison budget, without comparing the others.
+
+    Every eligible subject meets every source in the order of their keys; the
+    number of a pair follows from both places, so the cut needs no comparison.
+    Places are counted per range first and never by one task alone.
+    """
+    s, b = numbered(subjects, subject_keys, "_s"), numbered(sources, source_keys, "_b")
+    n = sources.agg(F.count("*").alias("_n"))
+    j = pairs.join(s, subject_keys).join(b, source_keys).crossJoin(F.broadcast(n))  # one row
+    return j.where(F.col("_s") * F.col("_n") + F.col("_b") < budget).drop("_s", "_b", "_n")
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys.., name): the place of each row in the order of its keys, from 0.
+
+    Rows are range-partitioned and sorted; the partitions' sizes, one number
+    each, give the offsets.
+    """
+    rows = settle(df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_off")  # one row a partition
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
+    return rows.withColumn("_i", within).join(F.broadcast(offsets), "_part").select(*keys, (F.col("_i") + F.col("_off")).alias(name))
+
+
 def comparison_budget(subjects: DataFrame, sources: DataFrame, budget: int = 50_000) -> DataFrame:
     """(comparisons, budget, exhausted) in closed form: every eligible subject against every source, in loop order, up to the budget."""
     s, b = subjects.agg(F.count("*").alias("s")), sources.agg(F.count("*").alias("b"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["packed_queries", "text_queries", "review_queries", "claim_queries", "image_queries"]
+MODULES = ["packed_queries", "text_queries", "review_queries", "claim_queries", "image_queries", "tei_queries", "workflow_queries"]
 
 
 def _modules():

@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as T
-from docsieve.operators import images, review
-from docsieve.sources import tei
+from docsieve.operators import images, lookup, review
 from docsieve.sources.tables import table
 from docsieve.streaming import limits
 
@@ -60,21 +59,28 @@ def author_families(spark: SparkSession, d: str) -> DataFrame:
 
 def url_checks(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "reference_sources", "id", "access_url").where("access_url is not null").distinct()
-    return r.select("id", review.public_url(F.col("access_url")).alias("public"), F.regexp_replace("access_url", r"[?#].*$", "").alias("bare_url"))
+    return r.select("id", lookup.public_url(F.col("access_url")).alias("public"), F.regexp_replace("access_url", r"[?#].*$", "").alias("bare_url"))
 
 
 def metadata_match(spark: SparkSession, d: str) -> DataFrame:
-    """Structured references and catalogue records of one year whose titles cover each other by four fifths of their words."""
-
-    def bag(df: DataFrame, key: str, year: str, least: int) -> DataFrame:
-        w = F.array_distinct(F.filter(T.words(F.col("title")), lambda x: F.length(x) >= least))
-        return df.select(key, F.col(year).cast("string").alias("year"), w.alias("w")).where("size(w) >= 3")
-
-    refs = bag(table(spark, d, "reference_sources", "id", "title", "year").where("title is not null and year is not null").distinct(), "id", "year", 1)
-    works = bag(table(spark, d, "catalog_works", "work_id", "title", "pub_year"), "work_id", "pub_year", 3)
-    l, r = refs.select("id", "year", F.size("w").alias("nl"), F.explode("w").alias("t")), works.select("work_id", "year", F.size("w").alias("nr"), F.explode("w").alias("t"))
-    both = l.join(r, ["year", "t"]).groupBy("id", "work_id", "nl", "nr").agg(F.count("*").alias("overlap"))
-    return both.where("overlap / nr >= 0.8 and overlap / nl >= 0.8").select("id", "work_id", "overlap")
+    """References and catalogue records that a lookup would take for the same: title, year and families, as far as both state them.
+
+    A record's title must be covered by four fifths, so a reference holds one of
+    its rarest fifth and one words; only those are joined.
+    """
+    refs = table(spark, d, "reference_sources", "id", "title", "raw_citation", "authors", "year").distinct()
+    works = table(spark, d, "catalog_works", "work_id", "title", "creators", "pub_year")
+    mine = F.array_distinct(T.words(F.coalesce(F.nullif(F.trim("title"), F.lit("")), "raw_citation", F.lit(""))))
+    theirs = F.array_distinct(F.filter(T.words(F.coalesce("title", F.lit(""))), lambda w: F.length(w) >= 3))
+    r, c = refs.withColumn("_w", mine), works.withColumn("_w", theirs).where("size(_w) >= 3")
+    df = c.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = c.select("work_id", F.size("_w").alias("n"), F.explode("_w").alias("word")).join(df, "word").groupBy("work_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_k"))
+    keys = ranked.select("work_id", F.explode(F.slice("_k", F.lit(1), F.expr("n - cast(ceil(0.8 * n) as int) + 1"))).alias("k")).select("work_id", F.col("k.word").alias("word"))
+    words = r.select("id", "_w", F.explode("_w").alias("word")).join(keys, "word").select("id", "work_id").distinct()
+    families = F.transform(F.filter(F.split(F.coalesce("creators", F.lit("")), ";"), lambda a: F.trim(a) != ""), lambda a: F.struct(F.lit(None).cast("string").alias("given"), lookup.family(a).alias("family")))
+    candidate = works.select("work_id", F.struct(F.array("title").alias("title"), families.alias("author"), F.struct(F.array(F.array(F.col("pub_year"))).alias("date-parts")).alias("published"), F.lit(None).cast("struct<`date-parts`:array<array<int>>>").alias("published-print")).alias("_c"))
+    both = words.join(refs, "id").join(candidate, "work_id")
+    return both.where(lookup.candidate_matches({k: F.col(k) for k in ("title", "raw_citation", "authors", "year")}, F.col("_c"))).select("id", "work_id").distinct()
 
 
 def latest_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -82,26 +88,6 @@ def latest_decision(spark: SparkSession, d: str) -> DataFrame:
     return review.latest(e, "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
 
 
-def review_completeness(spark: SparkSession, d: str) -> DataFrame:
-    """Per nation: customers (evidence), those with an order (decision), and whether every one has."""
-    c, o = table(spark, d, "customer", "c_custkey", "c_nationkey"), table(spark, d, "orders", "o_custkey").distinct()
-    j = c.join(o, c["c_custkey"] == o["o_custkey"], "left")
-    return j.groupBy("c_nationkey").agg(F.count("*").alias("total"), F.count("o_custkey").alias("decided"), (F.count("o_custkey") == F.count("*")).alias("complete"))
-
-
-def decision_rollup(spark: SparkSession, d: str) -> DataFrame:
-    e = latest_decision(spark, d)
-    rank = F.create_map(*[x for i, t in enumerate(["click", "view", "purchase", "error"]) for x in (F.lit(t), F.lit(i))])
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).where("n > 0").withColumn("position", F.coalesce(F.try_element_at(rank, F.col("event_type")), F.lit(9)))
-
-
-def evidence_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Severity descending as a string, then time: the position of every row."""
-    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderdate", "o_custkey")
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderpriority"), "o_orderdate", "o_orderkey")
-    return o.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("position"))
-
-
 def newest_100(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "research_submissions", "id", "title", "created_at").distinct()
     return s.orderBy(F.desc("created_at"), "id").limit(100)
@@ -173,12 +159,6 @@ def budget_skip_fold(spark: SparkSession, d: str) -> DataFrame:
     return review.skipping_budget(a, "task_id", "id", "page_count", 300)
 
 
-def running_totals(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate")
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
-    return o.select("o_orderkey", F.count("*").over(w).alias("documents"), F.min("o_orderkey").over(w).alias("first_key"))
-
-
 def fingerprint_classes(spark: SparkSession, d: str) -> DataFrame:
     """How many references fall on one fingerprint of their fields; class sizes only."""
     r = table(spark, d, "reference_sources", "id", "raw_citation", "title", "venue", "year").distinct()
@@ -186,23 +166,6 @@ def fingerprint_classes(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("f").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes"))
 
 
-def evidence_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of even priority classes merged over all orders by customer and status: counts per origin."""
-    o = table(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice")
-    old = review.keep_first(o.withColumn("origin", F.lit("old")), ["o_custkey", "o_orderstatus"], ["o_orderkey"])
-    new = o.where("o_totalprice > 200000").withColumn("origin", F.lit("new"))
-    merged = review.upsert(old, new, ["o_custkey", "o_orderstatus"], ["o_orderkey"])
-    return merged.groupBy("origin", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
-
-
-def lifecycle_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Transitions between the statuses of a task in order of its updates, and whether each is allowed."""
-    t = table(spark, d, "paper_tasks", "source_file_id", "id", "status", "updated_at").where("source_file_id is not null").distinct()
-    w = W.partitionBy("source_file_id").orderBy("updated_at", "id", "status")
-    steps = t.withColumn("before", F.lag("status").over(w)).where("before is not null")
-    return steps.groupBy("before", "status", review.allowed(F.col("before"), F.col("status")).alias("allowed")).agg(F.count("*").alias("n"))
-
-
 def status_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every status with whether it can go on to checking."""
     t = table(spark, d, "paper_tasks", "id", "status").distinct()
@@ -216,7 +179,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events", "user_id", "event_id", "ts", "event_type").where("event_type = 'error'")
-    return limits.failure_windows(e, "user_id", "ts", "event_id", seconds=86_400.0)
+    return limits.failure_windows(e, "user_id", "ts", "event_id", most=2, seconds=86_400.0)
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -228,17 +191,6 @@ def run_attempts(spark: SparkSession, d: str) -> DataFrame:
     return limits.attempts(e, "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.max("attempt").alias("attempts"))
 
 
-def tei_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue records written as TEI and read back."""
-    w = table(spark, d, "catalog_works", "work_id", "title", "creators")
-
-    def esc(c):
-        return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), esc(F.col("title")), F.lit("</title></titleStmt></fileDesc></teiHeader><text><body><div><p>"), esc(F.col("creators")), F.lit("</p></div></body></text></TEI>"))
-    return tei.parse_tei(w.select("work_id", xml.alias("xml")), "work_id", "xml").select("work_id", "title", "n_sections", "n_references")
-
-
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Report lines of each task: counts of references per status, in fixed order."""
     r = table(spark, d, "reference_sources", "id", "task_id", "parse_status").distinct()
@@ -257,13 +209,11 @@ SQL = {
     "doi_normal": r"SELECT DISTINCT id, nullif(lower(regexp_replace(trim(doi), '^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '', 'i')), '') AS doi FROM reference_sources WHERE doi IS NOT NULL",
     "author_families": r"SELECT lower(regexp_split_to_array(trim(name), '\s+')[-1]) AS family, count(*) AS n FROM (SELECT unnest(authors) AS name FROM reference_sources) WHERE trim(name) <> '' GROUP BY 1",
     "url_checks": r"SELECT DISTINCT id, regexp_matches(access_url, '^(?i:https?)://[^@/?#]+(?:[/?#]|$)') AND NOT regexp_matches(access_url, '^[a-zA-Z]+://(?:10\.|127\.|0\.|169\.254\.|192\.168\.|localhost[:/?#]?|172\.(?:1[6-9]|2\d|3[01])\.)') AS public, regexp_replace(access_url, '[?#].*$', '') AS bare_url FROM reference_sources WHERE access_url IS NOT NULL",
-    "metadata_match": r"""WITH l0 AS (SELECT id, year, list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}_''-]+')) AS w FROM (SELECT DISTINCT id, title, year FROM reference_sources WHERE title IS NOT NULL AND year IS NOT NULL)),
- r0 AS (SELECT work_id, CAST(pub_year AS VARCHAR) AS year, list_filter(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}_''-]+')), lambda x: length(x) >= 3) AS w FROM catalog_works)
- SELECT id, work_id, CAST(len(list_intersect(l0.w, r0.w)) AS BIGINT) AS overlap FROM l0 JOIN r0 USING (year) WHERE len(l0.w) >= 3 AND len(r0.w) >= 3 AND len(list_intersect(l0.w, r0.w)) / len(r0.w) >= 0.8 AND len(list_intersect(l0.w, r0.w)) / len(l0.w) >= 0.8""",
+    "metadata_match": r"""WITH l AS (SELECT id, nullif(trim(title), '') AS stated, list_distinct(regexp_extract_all(lower(coalesce(nullif(trim(title), ''), raw_citation, '')), '[\p{L}\p{N}_''-]+')) AS w, nullif(year, '') AS year, list_transform(list_filter(coalesce(authors, []), lambda a: trim(a) <> ''), lambda a: lower(regexp_split_to_array(trim(a), '\s+')[-1])) AS f FROM (SELECT DISTINCT id, title, raw_citation, authors, year FROM reference_sources)),
+ r AS (SELECT work_id, list_filter(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_''-]+')), lambda x: length(x) >= 3) AS w, CAST(pub_year AS STRING) AS year, list_transform(list_filter(string_split(coalesce(creators, ''), ';'), lambda a: trim(a) <> ''), lambda a: lower(regexp_split_to_array(trim(a), '\s+')[-1])) AS f FROM catalog_works),
+ o AS (SELECT id, work_id, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM l) JOIN (SELECT work_id, unnest(w) AS t FROM r WHERE len(w) >= 3) USING (t) GROUP BY 1, 2)
+ SELECT DISTINCT id, work_id FROM o JOIN l USING (id) JOIN r USING (work_id) WHERE n / len(r.w) >= 0.8 AND (stated IS NULL OR n / len(l.w) >= 0.8) AND coalesce(l.year = r.year, true) AND (len(l.f) = 0 OR len(r.f) = 0 OR list_has_any(l.f, r.f)) AND (stated IS NOT NULL OR coalesce(l.year = r.year, false) OR list_has_any(l.f, r.f))""",
     "latest_decision": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "review_completeness": "SELECT c_nationkey, count(*) AS total, count(o_custkey) AS decided, count(o_custkey) = count(*) AS complete FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey GROUP BY 1",
-    "decision_rollup": "SELECT event_type, count(*) AS n, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 9 END AS position FROM (SELECT event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1",
-    "evidence_listing": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey) AS INTEGER) AS position FROM orders",
     "newest_100": "SELECT DISTINCT id, title, created_at FROM research_submissions ORDER BY created_at DESC, id LIMIT 100",
     "public_submissions": "SELECT id, title, review_outcome, review_summary FROM (SELECT DISTINCT id, title, review_outcome, review_summary, review_published, is_public FROM research_submissions) WHERE is_public AND review_published",
     "submission_checks": r"SELECT id, CASE WHEN coalesce(length(trim(title)), 0) NOT BETWEEN 2 AND 500 THEN 'title' WHEN coalesce(length(trim(reason)), 0) NOT BETWEEN 10 AND 4000 THEN 'reason' WHEN NOT coalesce(regexp_full_match(lower(trim(submitter_email)), '[^@\s]+@[^@\s]+\.[^@\s]+') AND length(submitter_email) <= 254, false) THEN 'email' WHEN coalesce(size_bytes, 0) > 52428800 THEN 'size' WHEN coalesce(page_count, 0) > 500 THEN 'pages' END AS reject_reason FROM (SELECT DISTINCT id, title, reason, submitter_email, size_bytes, page_count FROM research_submissions)",
@@ -273,12 +223,21 @@ SQL = {
     "retention_purge": "SELECT DISTINCT id, role, 'purged' AS retention_state FROM document_assets WHERE role IN ('source_pdf', 'reference_pdf', 'cited_full_text', 'index')",
     "purged_references": "SELECT task_id, count(*) AS refs FROM (SELECT DISTINCT id, task_id FROM reference_sources) WHERE task_id IN (SELECT task_id FROM parsed_documents WHERE asset_id IN (SELECT id FROM document_assets WHERE role IN ('source_pdf', 'reference_pdf', 'cited_full_text', 'index'))) GROUP BY 1",
     "budget_prefix": "SELECT l_orderkey, l_linenumber, running FROM (SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lineitem) WHERE running <= 100",
-    "running_totals": "SELECT o_orderkey, count(*) OVER w AS documents, min(o_orderkey) OVER w AS first_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)",
     "fingerprint_classes": "SELECT size, count(*) AS classes FROM (SELECT count(*) AS size FROM (SELECT DISTINCT id, raw_citation, title, venue, year FROM reference_sources) GROUP BY raw_citation, title, venue, year) GROUP BY 1",
-    "evidence_upsert": "WITH o AS (SELECT o_custkey, o_orderstatus, o_orderkey, 'old' AS origin FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1), n AS (SELECT o_custkey, o_orderstatus, o_orderkey, 'new' AS origin FROM orders WHERE o_totalprice > 200000 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1) SELECT origin, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.o_custkey = o.o_custkey AND n.o_orderstatus = o.o_orderstatus)) GROUP BY 1, 2",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS log, false AS admitted FROM events GROUP BY user_id
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN len(list_filter(f.log, lambda x: e.t - x < 600000000)) < 3 THEN list_append(list_filter(f.log, lambda x: e.t - x < 600000000), e.t) ELSE list_filter(f.log, lambda x: e.t - x < 600000000) END, len(list_filter(f.log, lambda x: e.t - x < 600000000)) < 3 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+ SELECT user_id, event_id, admitted FROM f WHERE i > 0""",
+    "failure_windows": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+ f AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS opened, CAST(0 AS BIGINT) AS t, CAST(0 AS INT) AS failures FROM e GROUP BY user_id
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN f.opened IS NULL OR e.t - f.opened >= 86400000000 THEN e.t ELSE f.opened END, e.t, CAST(CASE WHEN f.opened IS NULL OR e.t - f.opened >= 86400000000 THEN 1 ELSE f.failures + 1 END AS INT) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+ SELECT user_id, event_id, failures, failures >= 2 AS blocked, CAST(CASE WHEN failures >= 2 THEN greatest(1, ceil((opened + 86400000000 - t) / 1000000.0)) ELSE 0 END AS INT) AS retry_after FROM f WHERE i > 0""",
+    "budget_skip_fold": """WITH RECURSIVE a AS (SELECT task_id, id, CAST(coalesce(page_count, 0) AS BIGINT) AS s, row_number() OVER (PARTITION BY task_id ORDER BY id) AS i FROM (SELECT DISTINCT id, task_id, page_count FROM document_assets)),
+ f AS (SELECT task_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS STRING) AS id, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS used, false AS taken FROM a GROUP BY task_id
+  UNION ALL SELECT a.task_id, a.i, a.id, a.s, CASE WHEN f.used + a.s > 300 THEN f.used ELSE f.used + a.s END, f.used + a.s <= 300 FROM f JOIN a ON a.task_id IS NOT DISTINCT FROM f.task_id AND a.i = f.i + 1)
+ SELECT task_id, id, s AS page_count FROM f WHERE taken""",
     "status_paths": "SELECT status, count(*) AS n, status IN ('references_ready', 'indexing', 'checking_failed', 'review_ready') AS may_check FROM (SELECT DISTINCT id, status FROM paper_tasks) GROUP BY 1",
     "event_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "run_attempts": "SELECT user_id, CAST(count(*) AS INTEGER) AS attempts FROM events GROUP BY 1",
-    "tei_roundtrip": r"SELECT work_id, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, 1 AS n_sections, 0 AS n_references FROM catalog_works",
     "report_rows": "SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY parse_status) AS INTEGER) AS line, concat_ws(': ', parse_status, CAST(n AS VARCHAR)) AS text FROM (SELECT task_id, parse_status, count(*) AS n FROM (SELECT DISTINCT id, task_id, parse_status FROM reference_sources) GROUP BY 1, 2)",
 }

@@ -24,8 +24,3 @@ def located_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = docs.select(F.col("id").alias("document_id"), F.explode("sections").alias("s")).distinct()
     page = F.try_element_at(F.filter("s.paragraphs", lambda p: p["page"].isNotNull()), F.lit(1))["page"]
     return s.select("document_id", F.col("s.ordinal").alias("section_no"), page.alias("first_page")).distinct()
-
-
-def pages_of(blocks: DataFrame) -> DataFrame:
-    """(document_id, page_count): the last page that holds text."""
-    return blocks.groupBy("document_id").agg(F.max("page").alias("page_count"))

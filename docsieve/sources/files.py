@@ -10,9 +10,12 @@ MAX_PAGES = 500
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size_bytes, reject_reason) of the files under ``path``; the reason is null for an acceptable PDF."""
+    """(path, sha256, size_bytes, reject_reason) of the files under ``path``; the reason is null for an acceptable PDF.
+
+    The scan leaves out empty files.
+    """
     files = spark.read.format("binaryFile").load(path)
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too_large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not_pdf")
+    reason = F.when(F.col("length") > MAX_BYTES, "too_large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not_pdf")
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), reason.alias("reject_reason"))
 
 

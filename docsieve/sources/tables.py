@@ -1,26 +1,15 @@
 """Parquet table access.
 
 Every table is read with an explicit column list, so the scan carries only
-what the operator uses.  ``deliveries`` collapses rows delivered twice.
+what the operator uses.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
     """Read ``name`` under ``sf_dir``; with ``columns`` only those."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def deliveries(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row per ``key``: rows that repeat a key are the same record delivered twice.
-
-    The kept row is the smallest by ``columns`` so the choice doesn't depend on
-    the order of arrival.  Null keys form one group of their own.  The
-    aggregation combines map-side, so a hot key costs one row per task.
-    """
-    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
