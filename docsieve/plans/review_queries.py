@@ -17,10 +17,6 @@ def tile_signatures(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", images.ones("sig").alias("ones"), F.round("minority", 6).alias("minority"), F.round("variance", 6).alias("variance"))
 
 
-def tile_reuse(spark: SparkSession, d: str) -> DataFrame:
-    return images.near_equal(images.signatures(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding"), "vec_id", most=6)
-
-
 def duplicate_assets(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "document_assets", "id", "sha256", "created_at").where("sha256 is not null").distinct()
     return images.later_duplicates(a, "sha256", ["created_at"], "id")
@@ -200,8 +196,7 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 SQL = {
-    "tile_signatures": "WITH v AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM v), o AS (SELECT vec_id, v, m, len(list_filter(v, lambda x: x >= m)) AS ones FROM m) SELECT vec_id, CAST(ones AS INTEGER) AS ones, round(least(ones, len(v) - ones) / len(v), 6) AS minority, round(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v), 6) AS variance FROM o",
-    "tile_reuse": "WITH v AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM v), s AS (SELECT vec_id, CAST(list_sum(list_transform(v, lambda x, i: CASE WHEN x >= m THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS sig FROM m) SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, CAST(bit_count(xor(a.sig, b.sig)) AS INTEGER) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.sig, b.sig)) <= 6",
+    "tile_signatures": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM v), o AS (SELECT vec_id, v, m, len(list_filter(v, lambda x: x >= m)) AS ones FROM m) SELECT vec_id, CAST(ones AS INTEGER) AS ones, round(least(ones, len(v) - ones) / len(v), 6) AS minority, round(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v), 6) AS variance FROM o",
     "duplicate_assets": "SELECT id, first_id FROM (SELECT id, first_value(id) OVER w AS first_id, row_number() OVER w AS rn FROM (SELECT DISTINCT id, sha256, created_at FROM document_assets WHERE sha256 IS NOT NULL) WINDOW w AS (PARTITION BY sha256 ORDER BY created_at, id)) WHERE rn > 1",
     "metadata_status_histogram": "SELECT full_text_status, metadata_status, count(*) AS n FROM (SELECT DISTINCT id, full_text_status, metadata_status FROM reference_sources) WHERE full_text_status <> 'obtained' GROUP BY 1, 2",
     "parse_coverage": "SELECT task_id, count(*) AS total, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'failed') AS failed, count(page) AS located, round(avg(confidence), 6) AS mean_confidence FROM (SELECT DISTINCT id, task_id, parse_status, confidence, title, year, page FROM reference_sources) GROUP BY 1",
