@@ -160,4 +160,12 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_pseudonyms": p1_pseudonyms, "p6_found": p6_found, "p6_classes": p6_classes, "p4_found": p4_found, "p4_matches": p4_matches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p2_found": p2_found, "p2_documents": p2_documents, "p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_classes": p10_classes, "p10_canonical": p10_canonical}
-SQL: dict[str, str] = {}
+# Brute force: every window of 200 characters of every paragraph, those of several documents kept, the covered characters counted.
+_PARAGRAPHS = "p AS (SELECT DISTINCT document_id, s.ordinal AS section_no, CAST(n AS INTEGER) AS paragraph_no, x.text AS text FROM (SELECT document_id, s, generate_subscripts(s.paragraphs, 1) AS n, unnest(s.paragraphs) AS x FROM (SELECT id AS document_id, unnest(sections) AS s FROM parsed_documents)))"
+_SHARED = f"""WITH {_PARAGRAPHS}, w AS (SELECT document_id, section_no, paragraph_no, i, substr(text, i, 200) AS g FROM (SELECT *, unnest(range(1, length(text) - 198)) AS i FROM p WHERE length(text) >= 200)),
+ h AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT document_id) > 1), c AS (SELECT document_id, section_no, paragraph_no, i, lead(i) OVER (PARTITION BY document_id, section_no, paragraph_no ORDER BY i) AS j FROM w SEMI JOIN h USING (g)),
+ f AS (SELECT document_id, section_no, paragraph_no, CAST(sum(least(200, coalesce(j - i, 200))) AS INTEGER) AS shared_chars FROM c GROUP BY 1, 2, 3)"""
+SQL: dict[str, str] = {
+    "p2_found": f"{_SHARED} SELECT * FROM f",
+    "p2_documents": f"{_SHARED} SELECT document_id, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars, CAST(coalesce(any_value(s), 0) AS BIGINT) AS shared_chars FROM p LEFT JOIN (SELECT document_id, sum(shared_chars) AS s FROM f GROUP BY 1) USING (document_id) GROUP BY 1",
+}
