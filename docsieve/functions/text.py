@@ -73,15 +73,20 @@ def citation_ordinals(body: Column) -> Column:
 def matches_with_offsets(text: Column, pattern: str) -> Column:
     """Array of (m, at): every match of ``pattern`` with its 0-based start.
 
-    Start of match k is the length of the first k+1 gaps plus that of the k matches before it.
+    The gaps between the matches and the matches themselves are found once each
+    and folded together: a match starts where all before it ends.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    none = F.expr("cast(array() as array<struct<m:string,at:int>>)")
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda acc, x: acc + F.length(x))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["g"])
+        more = F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), at.alias("at"))))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct((at + F.length(x["m"])).alias("at"), more.alias("out")))
 
-    return F.transform(found, lambda m, i: F.struct(m.alias("m"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(found, 1, i))).alias("at")))
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def sentence_around(text: Column, start: Column, end: Column) -> Column:
