@@ -65,6 +65,7 @@ def later_duplicates(df: DataFrame, digest: str, order: list[str], key: str) ->
     The first is a combined minimum joined back, so a digest that a third of
     all rows carry is never gathered in one task.
     """
-    first = df.groupBy(digest).agg(F.min(F.struct(*order, key)).alias("_f"))
+    place = F.struct(*dict.fromkeys([*order, key]))
+    first = df.groupBy(digest).agg(F.min(place).alias("_f"))
     joined = df.join(first, digest)
-    return joined.where(F.struct(*order, key) != F.col("_f")).select(F.col(key), F.col(f"_f.{key}").alias(f"first_{key}"))
+    return joined.where(place != F.col("_f")).select(F.col(key), F.col(f"_f.{key}").alias(f"first_{key}"))

@@ -86,6 +86,11 @@ def budgeted(subjects: DataFrame, sources: DataFrame, pairs: DataFrame, subject_
     return j.where(F.col("_s") * F.col("_n") + F.col("_b") < budget).drop("_s", "_b", "_n")
 
 
+def first_in_order(df: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """The first ``budget`` rows in the order of their keys: what a sequential comparison would get to."""
+    return numbered(df, keys, "_i").where(F.col("_i") < budget).drop("_i")
+
+
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys.., name): the place of each row in the order of its keys, from 0.
 

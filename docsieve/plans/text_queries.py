@@ -55,6 +55,18 @@ def _reuse(spark: SparkSession, d: str) -> DataFrame:
     return runs.withColumn("severity", F.when(F.col("size") >= 30, "high").otherwise("medium")).withColumn("confidence", alignment.reuse_confidence(F.col("size"), F.col("nl"), F.col("nr")))
 
 
+def text_reuse_within_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that are compared within a budget of 20,000, in the order of the text."""
+    c = reuse_candidates(spark, d)
+    return similarity.first_in_order(c, [*KEYS, "item_id"], 20_000)
+
+
+def text_reuse_budget(spark: SparkSession, d: str) -> DataFrame:
+    """(comparisons, budget, exhausted) of the lexical comparison under that budget."""
+    n = reuse_candidates(spark, d).agg(F.count("*").alias("n"))
+    return n.select(F.least("n", F.lit(20_000).cast("bigint")).alias("comparisons"), F.lit(20_000).cast("bigint").alias("budget"), (F.col("n") > 20_000).cast("int").alias("exhausted"))
+
+
 def text_reuse_records(spark: SparkSession, d: str) -> DataFrame:
     """The same as evidence records: places, excerpts and source, in their order."""
     r = _reuse(spark, d)
@@ -236,12 +248,19 @@ _ORD = r"""SELECT DISTINCT document_id, section_no, paragraph_no, CAST(o AS INTE
   FROM (SELECT document_id, section_no, paragraph_no, unnest(regexp_extract_all(text, '\[([^\]]+)\]', 1)) AS body FROM blocks)))"""
 
 QUERIES = {
-    "blocks_scan": blocks_scan, "block_pages": block_pages, "section_pages": section_pages, "posting_stats": posting_stats, "text_reuse_candidates": reuse_candidates, "text_reuse_evidence": reuse_evidence, "text_reuse_records": text_reuse_records,
+    "blocks_scan": blocks_scan, "block_pages": block_pages, "section_pages": section_pages, "posting_stats": posting_stats, "text_reuse_candidates": reuse_candidates, "text_reuse_evidence": reuse_evidence, "text_reuse_records": text_reuse_records, "text_reuse_within_budget": text_reuse_within_budget, "text_reuse_budget": text_reuse_budget,
     "longest_shared_run": longest_shared_run, "stem_norms": stem_norms, "semantic_similarity": semantic_similarity, "semantic_top3": semantic_top3, "semantic_records": semantic_records, "semantic_within_budget": semantic_within_budget, "semantic_budget": semantic_budget,
     "number_strings": number_strings, "citation_marks": citation_marks, "citation_contexts": citation_contexts, "citation_resolution": citation_resolution, "direction_events": direction_events, "data_on_request": data_on_request,
     "coverage_summary": coverage_summary, "word_excerpts": word_excerpts,
 }
+_CANDIDATES = _B + f""", src AS (SELECT item_id, token FROM (SELECT item_id, unnest(list_distinct({_WORDS.format('passage')})) AS token FROM eval_items) WHERE length(token) >= 4),
+ df AS (SELECT token, count(*) AS df FROM src GROUP BY 1), mine AS (SELECT document_id, section_no, paragraph_no, unnest(list_distinct({_WORDS.format('text')})) AS token FROM blocks),
+ anchors AS (SELECT m.document_id, m.section_no, m.paragraph_no, token FROM mine m JOIN df USING (token) WHERE length(token) >= 5 AND token NOT IN {_STOP} AND df <= greatest(20, (SELECT count(*) FROM eval_items) // 10)
+  QUALIFY row_number() OVER (PARTITION BY m.document_id, m.section_no, m.paragraph_no ORDER BY df, token) <= 12),
+ cand AS (SELECT DISTINCT document_id, section_no, paragraph_no, item_id FROM anchors JOIN src USING (token))"""
 SQL = {
+    "text_reuse_within_budget": _CANDIDATES + " SELECT * FROM cand QUALIFY row_number() OVER (ORDER BY document_id, section_no, paragraph_no, item_id) <= 20000",
+    "text_reuse_budget": _CANDIDATES + " SELECT least(count(*), 20000) AS comparisons, CAST(20000 AS BIGINT) AS budget, CAST(count(*) > 20000 AS INT) AS exhausted FROM cand",
     "blocks_scan": _B + " SELECT * FROM blocks",
     "block_pages": _B + " SELECT document_id, count(*) AS n_blocks, count(DISTINCT page) AS pages_with_text, max(page) AS last_page FROM blocks GROUP BY 1",
     "section_pages": "SELECT DISTINCT id AS document_id, s.ordinal AS section_no, list_filter(s.paragraphs, lambda p: p.page IS NOT NULL)[1].page AS first_page FROM (SELECT id, unnest(sections) AS s FROM parsed_documents)",

@@ -333,3 +333,26 @@ def test_settle_refuses_a_cluster_without_a_folder():
 
     with pytest.raises(ValueError):
         settle.shared_dir(Session())
+
+
+def test_report_sink_and_storage_keys(spark, tmp_path):
+    lines = spark.createDataFrame([("t", 2, "second"), ("t", 1, "first")], "task_id string, line int, text string")
+    counters = spark.createDataFrame([("t", 3), ("u", 0)], "task_id string, pages int")
+    workflow.write_report(lines, counters, str(tmp_path / "reports"))
+    got = {r.task_id: r.report for r in spark.read.parquet(str(tmp_path / "reports")).collect()}
+    assert got["t"].index('{"pages":3}') < got["t"].index("1. first\n2. second") and "No records." in got["u"]
+    row = spark.createDataFrame([("t", "a")], "t string, a string").select(workflow.storage_key(F.col("t"), "source", F.col("a"), ".pdf").alias("k"), workflow.job_key(F.lit("parse"), F.col("t"), F.lit("0123456789abcdefXX"), F.lit(2)).alias("j")).first()
+    assert tuple(row) == ("tasks/t/source/a.pdf", "parse:t:0123456789abcdef:2")
+
+
+def test_a_third_of_the_rows_on_one_key(spark):
+    # one digest, one user and one task hold a third of all rows; results stay whole and nothing is gathered beside the fold
+    rows = [("hot" if i % 3 == 0 else f"k{i}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int").withColumn("t", F.timestamp_seconds(F.col("i").cast("bigint")))
+    assert limits.admissions(df, "k", "t", "i", limit=5, seconds=1e6).where("k = 'hot' and admitted").count() == 5
+    from docsieve.operators import images, review
+
+    assert images.later_duplicates(df, "k", ["i"], "i").count() == 299
+    plan = images.later_duplicates(df, "k", ["i"], "i")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan
+    assert review.keep_first(df, ["k"], ["i"]).where("k = 'hot'").first().i == 0
