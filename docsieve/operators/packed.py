@@ -25,6 +25,7 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Delimiter classes, quote pairs, words that mark organisations.
@@ -280,9 +281,8 @@ def source_scores(df: DataFrame, packed: str, source: str) -> DataFrame:
     kind = df.schema[source].dataType.simpleString()
     each = df.where(F.col(packed).isNotNull()).select(F.col(source).alias("_src"), F.col(packed).alias("_packed")).mapInArrow(scores, f"_src {kind}, delims string, reg double, n double, best boolean")
     sums = each.groupBy("_src", "delims").agg(F.avg(F.when(F.col("best"), F.col("reg"))).alias("reg"), F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"), F.count_if("best").alias("won"))
-    rows = sums.groupBy("_src").agg(F.greatest(F.sum("won"), F.lit(1)).alias("rows")).withColumnRenamed("_src", "_rows_src")  # each row has one best
-    j = sums.join(rows, F.col("_src").eqNullSafe(F.col("_rows_src")))
-    return j.select(F.col("_src").alias(source), "delims", F.expr("coalesce(won / rows * (reg - 0.1 * sd / greatest(m, 1)), 0.0)").alias("prior"))
+    rows = F.greatest(F.sum("won").over(W.partitionBy("_src")), F.lit(1))  # each row has one best; a source has as many sums as combinations
+    return sums.withColumn("rows", rows).select(F.col("_src").alias(source), "delims", F.expr("coalesce(won / rows * (reg - 0.1 * sd / greatest(m, 1)), 0.0)").alias("prior"))
 
 
 def split_packed(df: DataFrame, key: str, packed: str, *, source: str | None = None, value_name: str = "author") -> DataFrame:
