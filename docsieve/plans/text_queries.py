@@ -90,8 +90,8 @@ def longest_shared_run(spark: SparkSession, d: str) -> DataFrame:
     k = 10
 
     def grams(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = df.select(key, T.words(F.col(text)).alias("w")).where(F.size("w") >= k)
-        both = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, k)).alias("g"), F.hash(F.try_element_at(F.col("w"), i), F.try_element_at(F.col("w"), i + (k - 1))).alias("h")))
+        w = df.select(key, T.words(F.col(text)).alias("w")).where(F.size("w") >= k).select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))  # each word is hashed once
+        both = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, k)).alias("g"), F.try_element_at(F.col("w"), i).alias("h")))  # 128 bits a gram
         return w.select(key, F.posexplode(both).alias("pos", "_g")).select(key, "pos", "_g.g", "_g.h")
 
     items = settle(grams(_passages(spark, d), "item_id", "passage").withColumnRenamed("pos", "ipos"), "passage-grams")
