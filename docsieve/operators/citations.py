@@ -94,7 +94,8 @@ def support(blocks: DataFrame, works: DataFrame, source_blocks: DataFrame, *, do
     best = best.join(source_blocks, ["source_id", "source_idx"]).join(ctx.select(*key, "context"), key)
     numbers, there = T.number_strings(F.col("context")), T.number_strings(F.col("source_text"))
     best = best.withColumn("subject_numbers", numbers).withColumn("_there", there).where((F.col("score") >= min_score) | F.arrays_overlap("subject_numbers", "_there"))
-    best = best.withColumn("_cw", T.direction_event(T.words(F.col("context")))).withColumn("_sw", T.direction_event(T.words(F.col("source_text"))))
+    best = best.withColumn("_ct", T.words(F.col("context"))).withColumn("_st", T.words(F.col("source_text")))  # split once, read at many places
+    best = best.withColumn("_cw", T.direction_event(F.col("_ct"))).withColumn("_sw", T.direction_event(F.col("_st")))
     item = F.struct("ordinal", "score", "source_id", "source_idx", "source_page", "source_bbox", "source_text", "title", "doi", "sha256", "reference_id")
     relation = T.direction_relation(F.col("_cw"), F.col("_sw"))
     aligned = best.withColumn("_rel", relation).groupBy(*key).agg(
