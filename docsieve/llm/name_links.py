@@ -406,8 +406,9 @@ def _linked(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     classes = members.groupBy("fields").agg((F.count("*") == 1).alias("single"), F.sum("rows").alias("rows"))
     keyed = settle(classes.select("fields").mapInArrow(index, "fields string, key string, apart boolean"), "name-keys")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key and a.fields <= b.fields and (a.fields = b.fields or not (a.apart and b.apart))")).select(F.col("a.fields").alias("fields_a"), F.col("b.fields").alias("fields_b")).distinct()
+    # one side without the spellings that aren't compared with each other by their key, so a hot key never meets itself whole
+    a, b = keyed.where("not apart").alias("a"), keyed.alias("b")
+    pairs = a.join(b, F.expr("a.key = b.key and (b.apart or a.fields <= b.fields)")).select(F.least("a.fields", "b.fields").alias("fields_a"), F.greatest("a.fields", "b.fields").alias("fields_b")).distinct()
     same = settle(pairs.mapInArrow(compare, pairs.schema), "name-same")
 
     persons = settle(classes.select("fields").mapInArrow(initials, "fields string, surname string, first string"), "name-initials")
