@@ -104,7 +104,7 @@ def excerpt_around(text: Column, marker: Column, radius: int = 260) -> Column:
     start = F.greatest(F.lit(0), at - 1 - radius)
     end = F.least(F.length(text), at - 1 + F.length(marker) + radius)
     cut = F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substr(text, start + 1, end - start)), F.when(end < F.length(text), "…").otherwise(""))
-    return F.when((at == 0) | (F.length(text) <= 2 * radius), text).otherwise(cut)
+    return F.when((F.length(text) <= 2 * radius) | (at == 0), text).otherwise(cut)  # short texts aren't searched
 
 
 WORD = r"[\p{L}\p{N}_'-]+"
