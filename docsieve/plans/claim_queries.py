@@ -9,6 +9,7 @@ from docsieve.functions import text as T
 from docsieve.operators import citations, detectors
 from docsieve.operators import evidence as E
 from docsieve.plans.claims import claims, sql
+from docsieve.sources.settle import settle
 
 CITATION_BUDGET = 40
 THRESHOLD_BUDGET, AVERAGE_BUDGET, LIST_BUDGET = 5, 4, 7
@@ -61,31 +62,29 @@ def stat_budgets(spark: SparkSession, d: str) -> DataFrame:
     return t.join(a, DOC).select(DOC, "threshold_claims_examined", "average_claims_examined", "value_list_comparisons", F.greatest("_t", "_a").alias("budget_exhausted"))
 
 
-def _rules(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of the rule detectors, in their order."""
+def _rules(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Evidence of each rule detector, in their order."""
     at = E.location(F.col(DOC), F.col("page"), F.col("bbox"))
     subjects = claims(spark, d, "subjects")
     m = detectors.measurement_contexts(claims(spark, d, "measurements"), [DOC, "block_idx", "page", "bbox"])
     m = detectors.condition_conflicts(m, DOC, ["block_idx", "page", "bbox"])
-    t = detectors.with_calculation(detectors.threshold_claims(claims(spark, d, "thresholds"), DOC, ["block_idx"])).where("consistent = false")
+    t = detectors.threshold_claims(claims(spark, d, "thresholds"), DOC, ["block_idx"]).where("consistent = false")
     a = detectors.average_claims(claims(spark, d, "averages"), DOC, ["block_idx"]).where("consistent = false")
     rules = E.method("document-rules")
-    return E.union(
-        [
-            E.build(detectors.cross_condition(subjects), seq=1, code="cross_condition_subject_mismatch", category="evidence_limitation", severity="medium", confidence=0.94, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation="Results of different subjects stand side by side.", method=rules),
-            E.build(
-                m, seq=2, code="measurement_condition_inconsistency", category="internal_consistency", severity="medium", confidence=0.86, subject=E.location(F.col(DOC), F.col("subject.o.page"), F.col("subject.o.bbox")), subject_excerpt=T.excerpt_around(F.col("subject.text"), F.col("subject.marker")),
-                source=E.location(F.col(DOC), F.col("source.o.page"), F.col("source.o.bbox")), source_excerpt=T.excerpt_around(F.col("source.text"), F.col("source.marker")), explanation=F.concat(F.col("subject.marker"), F.lit(" stands under several conditions: "), F.array_join("conditions", ", "), F.lit(".")), method=rules,
-            ),
-            E.build(t, seq=3, code="statistical_threshold_uncertainty", category="statistical_consistency", severity="medium", confidence=0.99, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation=F.concat(F.lit("With its uncertainty the value crosses the threshold: "), F.col("calculation"), F.lit(".")), method=E.method("document-rules", parameters={"calculation": F.col("calculation")})),
-            E.build(a, seq=4, code="statistical_average_inconsistency", category="statistical_consistency", severity="medium", confidence=0.99, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation=F.concat(F.lit("The listed values give another average: "), detectors.average_calculation(), F.lit(".")), method=rules),
-            E.build(detectors.data_on_request(subjects), seq=9, code="data_not_directly_available", category="reproducibility", severity="medium", confidence=0.99, subject=at, subject_excerpt=F.col("text"), explanation="The data can be had on request only.", method=rules),
-        ]
-    )
+    return [
+        E.build(detectors.cross_condition(subjects), seq=1, code="cross_condition_subject_mismatch", category="evidence_limitation", severity="medium", confidence=0.94, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation="Results of different subjects stand side by side.", method=rules),
+        E.build(
+            m, seq=2, code="measurement_condition_inconsistency", category="internal_consistency", severity="medium", confidence=0.86, subject=E.location(F.col(DOC), F.col("subject.o.page"), F.col("subject.o.bbox")), subject_excerpt=T.excerpt_around(F.col("subject.text"), F.col("subject.marker")),
+            source=E.location(F.col(DOC), F.col("source.o.page"), F.col("source.o.bbox")), source_excerpt=T.excerpt_around(F.col("source.text"), F.col("source.marker")), explanation=F.concat(F.col("subject.marker"), F.lit(" stands under several conditions: "), F.array_join("conditions", ", "), F.lit(".")), method=rules,
+        ),
+        E.build(t, seq=3, code="statistical_threshold_uncertainty", category="statistical_consistency", severity="medium", confidence=0.99, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation=F.concat(F.lit("With its uncertainty the value crosses the threshold: "), F.col("calculation"), F.lit(".")), method=E.method("document-rules", parameters={"calculation": F.col("calculation")})),
+        E.build(a, seq=4, code="statistical_average_inconsistency", category="statistical_consistency", severity="medium", confidence=0.99, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation=F.concat(F.lit("The listed values give another average: "), F.col("calculation"), F.lit(".")), method=rules),
+        E.build(detectors.data_on_request(subjects), seq=9, code="data_not_directly_available", category="reproducibility", severity="medium", confidence=0.99, subject=at, subject_excerpt=F.col("text"), explanation="The data can be had on request only.", method=rules),
+    ]
 
 
 def _support(spark: SparkSession, d: str) -> DataFrame:
-    cited = claims(spark, d, "cited")
+    cited = settle(claims(spark, d, "cited"), "cited")  # one row for each work, read at several places
     none = F.lit(None).cast("string")
     works = cited.select(DOC, "ordinal", "doc_idx", "source_id", F.concat(F.lit("Work "), F.col("source_id")).alias("title"), none.alias("doi"), F.sha2("source_id", 256).alias("sha256"), F.col("source_id").alias("reference_id"))
     box = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
@@ -105,14 +104,20 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     return citations.coverage(_support(spark, d), budget=CITATION_BUDGET)
 
 
-def _all(spark: SparkSession, d: str) -> DataFrame:
-    both = E.union([_rules(spark, d), citations.findings(_support(spark, d))])
-    return E.identify(both, F.sha2("subject_location.document_id", 256), F.sha2(F.lit("index"), 256))
+def _parts(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Each detector's records with identity and version."""
+    parts = [*_rules(spark, d), citations.findings(_support(spark, d))]
+    return [E.identify(p, F.sha2(DOC, 256), F.sha2(F.lit("index"), 256)) for p in parts]
+
+
+def _collapsed(parts: list[DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """All records, equal ones once.  Codes differ between the parts and are part of the fingerprint, so each part is collapsed where its rows are."""
+    return E.union([E.collapse(p, columns) for p in parts])
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """All detectors' records with identity and version, equal ones once."""
-    e = E.collapse(_all(spark, d))
+    e = _collapsed(_parts(spark, d))
     s, r = F.col("subject_location"), F.col("source_location")
     return e.select(
         DOC, "code", "category", "status", "severity", "confidence", s["page"].alias("page"), F.array_join(F.transform(s["bbox"], lambda x: x.cast("int").cast("string")), ",").alias("bbox"), r["document_id"].alias("source_document"), r["page"].alias("source_page"),
@@ -122,8 +127,10 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_rerun(spark: SparkSession, d: str) -> DataFrame:
     """A second run over the stored one: records of one key are overwritten, a new version is added beside the old."""
-    first = E.collapse(_all(spark, d)).drop("collapsed")
-    again = _all(spark, d).withColumn("explanation", F.lit("again"))
+    parts = _parts(spark, d)
+    columns = ["seq", "code", "explanation"]  # what is counted
+    first = _collapsed(parts, columns).drop("collapsed")
+    again = E.union(parts).withColumn("explanation", F.lit("again"))
     newer = again.where("code = 'data_not_directly_available'").withColumn("evidence_version", F.concat(F.col("evidence_version"), F.lit("-next")))
     merged = E.merge(E.merge(first, again.where("code like 'citation%'")), newer)
     return merged.groupBy("code", (F.col("explanation") == "again").alias("again"), F.col("evidence_version").endswith("-next").alias("next")).agg(F.count("*").alias("n"))
@@ -133,7 +140,7 @@ def evidence_order(spark: SparkSession, d: str) -> DataFrame:
     """The place of every record in its document's listing."""
     from pyspark.sql import Window as W
 
-    e = E.collapse(_all(spark, d)).drop("collapsed")
+    e = _collapsed(_parts(spark, d), ["seq", "subject_location", "source_location"]).drop("collapsed")
     place = F.row_number().over(W.partitionBy(DOC).orderBy(*E.in_order()))
     return e.select(DOC, "fingerprint", place.alias("place"))
 

@@ -1,6 +1,8 @@
 """What the evidence queries must not do on large tables, with the results that they must keep."""
 
 from docsieve.operators import detectors
+from docsieve.operators import evidence as E
+from docsieve.plans import claim_queries
 from pyspark.sql import functions as F
 
 TEXTS = ["0.4 ± 0.2 ( < 0.5 ) then 1 ± 0.5 ( < 3 )", "Values 1, 2, 3 and 6 nm; an average of 4 nm, 2, 2, 2 and 2 nm, average of 2 nm.", "The emission lifetime was 5 ns at 10 K.", "Seen [1, 2]. Not seen [3].", "nothing", None]
@@ -34,3 +36,16 @@ def test_equal_contexts_are_paired_once(spark):
     b = spark.createDataFrame(texts, "text string, n int").withColumn("d", F.lit("d"))
     r = detectors.condition_conflicts(detectors.measurement_contexts(b, ["d", "n"]), "d", ["n"]).collect()
     assert [(x.n_conditions, x.baseline, x.subject.o.n, x.source.o.n) for x in r] == [(2, "10 k", 0, 1)]
+
+
+def _records(b):
+    t = detectors.threshold_claims(b, "document_id", ["block_idx"]).where("consistent = false")
+    e = E.build(t, seq=3, code="c", category="x", severity="medium", confidence=0.9, subject=E.location(F.col("document_id"), F.col("page"), F.array(F.lit(0.0), F.col("block_idx") + F.lit(0.5))), subject_excerpt=F.col("text"), explanation=F.col("calculation"), method=E.method("m"))
+    return E.identify(e, F.lit("s"), F.lit("digest"))
+
+
+def test_records_are_collapsed_where_their_document_is(spark):
+    b = _many(spark).unionAll(_many(spark))
+    got = claim_queries._collapsed([_records(b)], ["seq", "code"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.collapsed, r.code) for r in got.collect()} == {(1, "c")} and got.count() == 40
