@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.sources.settle import settle
+
 LOCATION = "struct<document_id:string,page:int,bbox:array<double>,char_start:int,char_end:int,word_start:int,word_end:int>"
 SOURCE = "struct<reference_id:string,ordinal:int,title:string,doi:string,sha256:string>"
 METHOD = f"struct<detector:string,version:string,parameters:map<string,string>,score:double,subject_numbers:array<string>,source_numbers:array<string>,source:{SOURCE}>"
@@ -114,10 +116,18 @@ def collapse(evidence: DataFrame, columns: list[str] | None = None) -> DataFrame
     return e.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("_v"), (F.count("*") - 1).alias("collapsed")).select(*KEY, *[F.col(f"_v.{c}").alias(c) for c in rest], "collapsed")
 
 
+BROADCAST_KEYS = 50_000  # under 200 bytes each
+
+
 def merge(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """``existing`` with the records of ``batch`` put in or over it by key; other versions stay."""
-    new = collapse(batch).drop("collapsed")
-    old = existing.join(new.select(*KEY), KEY, "left_anti")
+    """``existing`` with the records of ``batch`` put in or over it by key; other versions stay.
+
+    The batch is worked out once; a small one's keys go to the existing
+    records, which then aren't moved.
+    """
+    new = settle(collapse(batch).drop("collapsed"), "evidence-batch")
+    keys = new.select(*KEY)
+    old = existing.join(F.broadcast(keys) if new.count() <= BROADCAST_KEYS else keys, KEY, "left_anti")
     return old.unionByName(new.select(*old.columns))
 
 

@@ -49,3 +49,17 @@ def test_records_are_collapsed_where_their_document_is(spark):
     got = claim_queries._collapsed([_records(b)], ["seq", "code"])
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.collapsed, r.code) for r in got.collect()} == {(1, "c")} and got.count() == 40
+
+
+def test_merge_moves_no_stored_record_for_a_small_batch(spark, monkeypatch):
+    monkeypatch.setattr(E, "BROADCAST_KEYS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = E.collapse(_records(_many(spark))).drop("collapsed")
+        again = _records(_many(spark)).where("page = 1").withColumn("explanation", F.lit("again"))
+        merged = E.merge(first, again)
+        assert "BroadcastHashJoin" in merged._jdf.queryExecution().executedPlan().toString()
+        assert {(r.explanation == "again", r.n) for r in merged.groupBy("explanation").agg(F.count("*").alias("n")).collect()} == {(True, 10), (False, 30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
