@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +61,55 @@ def similar_pairs(left: DataFrame, left_keys: list[str], right: DataFrame, right
     return done.where((F.col("shared") >= min_shared) & (F.col("score") >= min_score)).select(*both_keys, "shared", "score")
 
 
+TABLE_CELLS = 4_000_000  # 8 bytes each, in every task
+
+
+def similar_texts(texts: DataFrame, keys: list[str], right: DataFrame, right_key: str, *, text: str = "text", at_least: int = 6, min_score: float = 0.62, min_shared: int = 6) -> DataFrame:
+    """``similar_pairs`` of texts with the bags of a few others: their stem counts are one table in every task, so no pair is moved.
+
+    Texts with the same keys are one bag.  Beyond the table's size the stems are joined.
+    """
+    many = right.agg(F.count_distinct("stem").alias("s"), F.count_distinct(right_key).alias("t")).first()
+    if many.s * many.t > TABLE_CELLS:
+        return similar_pairs(stem_bags(texts, keys, text, at_least=at_least), keys, right, [right_key], min_score=min_score, min_shared=min_shared)
+    rows = right.select(right_key, "sq", "stem", "tf").collect()  # as many as the table's cells at most
+    column = {k: j for j, k in enumerate(dict.fromkeys(r[0] for r in rows))}
+    line = {w: i for i, w in enumerate(dict.fromkeys(r.stem for r in rows))}
+    counts, theirs = np.zeros((len(line), len(column))), np.zeros(len(column))
+    for r in rows:
+        counts[line[r.stem], column[r[0]]], theirs[column[r[0]]] = r.tf, r.sq
+    names, n = list(column), len(keys)
+    bags = texts.select(*keys, stems(words(F.col(text))).alias("_s")).groupBy(*keys).agg(F.flatten(F.collect_list("_s")).alias("_s")).where(F.size("_s") >= at_least)
+    kinds = {f.name: f.dataType.simpleString() for f in [*texts.select(*keys).schema, right.schema[right_key]]}
+    kind = pa.from_numpy_dtype(np.asarray(names).dtype) if names and not isinstance(names[0], str) else pa.string()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = np.sqrt(theirs)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                b = whole.slice(first, 512)
+                lists = b.column(n)
+                coded = lists.flatten().dictionary_encode()
+                known = np.array([line.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                cell, tf = np.unique(row * max(1, len(known)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row, stem = cell // len(known), known[cell % len(known)]
+                sq = np.bincount(row, tf * tf, b.num_rows)
+                row, stem, tf = row[stem >= 0], stem[stem >= 0], tf[stem >= 0]
+                some, start = np.unique(row, return_index=True)
+                if not len(some) or not len(names):
+                    continue
+                score = np.add.reduceat(counts[stem] * tf[:, None], start, axis=0) / (np.sqrt(sq[some])[:, None] * root)  # exact integers, divided last
+                at, j = np.nonzero(score >= min_score)
+                end = np.append(start[1:], len(row))
+                shared = np.array([np.count_nonzero(counts[stem[start[a] : end[a]], c]) for a, c in zip(at, j, strict=True)], dtype=np.int64)
+                at, j, shared = at[shared >= min_shared], j[shared >= min_shared], shared[shared >= min_shared]
+                take = pa.array(some[at], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in range(n)], pa.array([names[c] for c in j], kind), pa.array(shared), pa.array(score[at, j])], names=[*keys, right_key, "shared", "score"])
+
+    return bags.mapInArrow(compare, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", shared bigint, score double")
+
+
 def without_common_run(pairs: DataFrame, texts_left: DataFrame, left_keys: list[str], texts_right: DataFrame, right_keys: list[str], text: str = "text", k: int = 10) -> DataFrame:
     """Drop pairs that share ``k`` stems in a row: those are verbatim reuse.  A common run exists exactly if a common k-gram does."""
 

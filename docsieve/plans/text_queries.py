@@ -123,7 +123,7 @@ def semantic_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 def _reworded(spark: SparkSession, d: str) -> DataFrame:
     left, right = _texts(spark, d), _passages(spark, d).withColumnRenamed("passage", "text")
-    pairs = similarity.similar_pairs(similarity.stem_bags(left, KEYS, "text"), KEYS, similarity.stem_bags(right, ["item_id"], "text"), ["item_id"])
+    pairs = settle(similarity.similar_texts(left, KEYS, similarity.stem_bags(right, ["item_id"], "text"), "item_id"), "similar-texts")
     kept = similarity.without_common_run(pairs, left, KEYS, right, ["item_id"]).withColumn("confidence", similarity.similarity_confidence(F.col("score")))
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("confidence"), *KEYS))
     return kept.withColumn("rank", rank).where("rank <= 3")
@@ -136,7 +136,8 @@ def semantic_top3(spark: SparkSession, d: str) -> DataFrame:
 
 def semantic_records(spark: SparkSession, d: str) -> DataFrame:
     """The same as evidence records."""
-    r = _reworded(spark, d).join(_texts(spark, d), KEYS).join(_passages(spark, d), "item_id")
+    top = settle(_reworded(spark, d), "reworded")  # three for each passage
+    r = top.join(_texts(spark, d), KEYS).join(_passages(spark, d), "item_id")
     item = F.concat(F.lit("item-"), F.col("item_id").cast("string"))
     e = E.build(
         r, seq=11, code="reference_semantic_similarity_candidate", category="semantic_similarity", severity="medium", confidence=F.col("confidence"), subject=E.location(F.col("document_id"), F.col("page")), source=E.location(item, F.lit(1)), subject_excerpt=F.col("text"), source_excerpt=F.col("passage"),
