@@ -31,3 +31,8 @@ def test_citations_without_a_budget_are_compared_once_for_equal_contexts(spark):
 
 def test_evidence_examines_everything(spark, tables):
     assert Counter(r.code for r in claim_queries.evidence(spark, tables).collect()) == WHOLE
+
+
+def test_listing_holds_everything(spark, tables):
+    got = claim_queries.evidence_order(spark, tables).collect()
+    assert sorted((r.document_id, r.place) for r in got) == [(d, i) for d, n in (("nation-1", 3), ("order-1", 2200), ("paper-0", 54)) for i in range(1, n + 1)]
