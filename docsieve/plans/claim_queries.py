@@ -105,9 +105,9 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     return citations.coverage(_support(spark, d, CITATION_BUDGET), budget=CITATION_BUDGET)
 
 
-def _parts(spark: SparkSession, d: str, budget: int | None = None) -> list[DataFrame]:
-    """Each detector's records with identity and version; every citation is examined unless a budget is given."""
-    parts = [*_rules(spark, d), citations.findings(_support(spark, d, budget))]
+def _parts(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Each detector's records with identity and version, of all claims and all citations."""
+    parts = [*_rules(spark, d), citations.findings(_support(spark, d, None))]
     return [E.identify(p, F.sha2(DOC, 256), F.sha2(F.lit("index"), 256)) for p in parts]
 
 
@@ -128,7 +128,7 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_rerun(spark: SparkSession, d: str) -> DataFrame:
     """A second run over the stored one: records of one key are overwritten, a new version is added beside the old."""
-    parts = _parts(spark, d, CITATION_BUDGET)
+    parts = _parts(spark, d)
     columns = ["seq", "code", "explanation"]  # what is counted
     first = _collapsed(parts, columns).drop("collapsed")
     again = E.union(parts).withColumn("explanation", F.lit("again"))
@@ -203,15 +203,10 @@ _PARTS = [
     _record("citation_direction_conflict_candidate", "citation_support", "high", "round(least(0.96, 0.55 + 0.4 * score), 3)", "cs", other="source_id", other_page="2", other_box="[0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE]", excerpt="source_text", where="outcome = 'direction'", artifacts=1, score="score"),
     _record("citation_numeric_mismatch_candidate", "citation_support", "medium", "round(least(0.96, 0.55 + 0.4 * score), 3)", "cs", other="source_id", other_page="2", other_box="[0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE]", excerpt="source_text", where="outcome = 'numeric'", artifacts=1, score="score"),
 ]
-
-
-def _records(citing: str) -> str:
-    return f"""WITH {_T}, {_A}, {_M}, {citing}, parts AS ({' UNION ALL '.join(_PARTS)}), e AS (SELECT *, concat(sha256(document_id), ':{_RULES}:', left(sha256('index'), 16)) AS evidence_version FROM parts),
+_ALL = f"WITH {_T}, {_A}, {_M}, {_C_WHOLE}, parts AS ({' UNION ALL '.join(_PARTS)})"
+_EVIDENCE = f"""{_ALL}, e AS (SELECT *, concat(sha256(document_id), ':{_RULES}:', left(sha256('index'), 16)) AS evidence_version FROM parts),
  ev AS (SELECT document_id, code, category, status, severity, confidence, page, bbox, source_document, source_page, subject_excerpt, min(source_excerpt) AS source_excerpt, fingerprint, evidence_version, count(*) - 1 AS collapsed, CAST(artifacts AS INT) AS artifacts, min(score) AS score FROM e GROUP BY ALL)"""
 
-
-_BUDGETED, _EVIDENCE = _records(_C), _records(_C_WHOLE)
-
 SQL = {
     "claim_thresholds": f"WITH {_T}, {_A} SELECT document_id, block_idx, page, claim, CAST(q AS DOUBLE) AS value, CAST(u AS DOUBLE) AS uncertainty, CAST(lim AS DOUBLE) AS threshold, CAST(q + u AS DOUBLE) AS upper, calculation, consistent FROM tc",
     "claim_averages": f"WITH {_T}, {_A} SELECT document_id, block_idx, page, claim, 'ns' AS unit, CAST(computed AS DOUBLE) AS computed, CAST(rep AS DOUBLE) AS reported, calculation, consistent FROM ac",
@@ -222,6 +217,6 @@ SQL = {
     "citation_outcomes": f"WITH {_C} SELECT document_id, block_idx, ctx, comparisons, outcome, CASE WHEN outcome IN ('direction', 'ambiguous', 'numeric', 'match') THEN round(score, 6) END AS score, CASE WHEN outcome IN ('direction', 'ambiguous', 'numeric', 'match') THEN CASE WHEN said <> held THEN CAST(said AS STRING) ELSE '' END END AS missing, CASE WHEN outcome IN ('direction', 'ambiguous', 'numeric', 'match') THEN CAST(k AS INT) END AS source_ordinal FROM cs",
     "citation_coverage": f"WITH {_C} SELECT document_id, count(*) AS citation_contexts_detected, count(*) FILTER (outcome <> 'no_source') AS citation_contexts_with_full_text, count(*) FILTER (outcome = 'match') AS citation_support_matches, count(*) FILTER (outcome IN ('no_source', 'missing_source', 'budget', 'unaligned', 'ambiguous')) AS citation_support_unresolved, count(*) FILTER (outcome = 'numeric') AS citation_numeric_mismatches, count(*) FILTER (outcome = 'direction') AS citation_direction_conflicts, CAST(sum(comparisons) AS BIGINT) AS citation_candidate_comparisons, CAST({CITATION_BUDGET} AS BIGINT) AS citation_candidate_budget, CAST(max(CASE WHEN outcome = 'budget' THEN 1 ELSE 0 END) AS INT) AS citation_candidate_budget_exhausted FROM cs GROUP BY 1",
     "evidence": f"{_EVIDENCE} SELECT * FROM ev",
-    "evidence_rerun": f"{_BUDGETED} SELECT code, again, next, n FROM (SELECT code, code LIKE 'citation%' AS again, false AS next, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT code, true, true, count(*) FROM ev WHERE code = 'data_not_directly_available' GROUP BY ALL)",
+    "evidence_rerun": f"{_EVIDENCE} SELECT code, again, next, n FROM (SELECT code, code LIKE 'citation%' AS again, false AS next, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT code, true, true, count(*) FROM ev WHERE code = 'data_not_directly_available' GROUP BY ALL)",
     "evidence_order": f"{_EVIDENCE} SELECT document_id, fingerprint, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page, coalesce(source_document, ''), CASE code WHEN 'cross_condition_subject_mismatch' THEN 1 WHEN 'measurement_condition_inconsistency' THEN 2 WHEN 'statistical_threshold_uncertainty' THEN 3 WHEN 'statistical_average_inconsistency' THEN 4 WHEN 'data_not_directly_available' THEN 9 WHEN 'citation_direction_conflict_candidate' THEN 20 ELSE 21 END, fingerprint) AS INT) AS place FROM ev",
 }

@@ -36,3 +36,8 @@ def test_evidence_examines_everything(spark, tables):
 def test_listing_holds_everything(spark, tables):
     got = claim_queries.evidence_order(spark, tables).collect()
     assert sorted((r.document_id, r.place) for r in got) == [(d, i) for d, n in (("nation-1", 3), ("order-1", 2200), ("paper-0", 54)) for i in range(1, n + 1)]
+
+
+def test_rerun_counts_everything(spark, tables):
+    expected = {(c, c.startswith("citation"), False): n for c, n in WHOLE.items()} | {("data_not_directly_available", True, True): 1}
+    assert {(r.code, r.again, r.next): r.n for r in claim_queries.evidence_rerun(spark, tables).collect()} == expected
