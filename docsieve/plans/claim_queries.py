@@ -131,9 +131,10 @@ def evidence_rerun(spark: SparkSession, d: str) -> DataFrame:
     parts = _parts(spark, d)
     columns = ["seq", "code", "explanation"]  # what is counted
     first = _collapsed(parts, columns).drop("collapsed")
-    again = E.union(parts).withColumn("explanation", F.lit("again"))
-    newer = again.where("code = 'data_not_directly_available'").withColumn("evidence_version", F.concat(F.col("evidence_version"), F.lit("-next")))
-    merged = E.merge(E.merge(first, again.where("code like 'citation%'")), newer)
+    # of the second run only the parts with the codes that it changes: the others needn't be planned again
+    data, citing = (p.select(*E.KEY, *[F.lit("again").alias(c) if c == "explanation" else c for c in [*columns, "source_location", "source_excerpt"]]) for p in parts[-2:])
+    newer = data.where("code = 'data_not_directly_available'").withColumn("evidence_version", F.concat(F.col("evidence_version"), F.lit("-next")))
+    merged = E.merge(E.merge(first, citing.where("code like 'citation%'")), newer)
     return merged.groupBy("code", (F.col("explanation") == "again").alias("again"), F.col("evidence_version").endswith("-next").alias("next")).agg(F.count("*").alias("n"))
 
 
