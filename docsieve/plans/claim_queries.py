@@ -13,7 +13,7 @@ from docsieve.sources.settle import settle
 
 CITATION_BUDGET = 40
 THRESHOLD_BUDGET, AVERAGE_BUDGET, LIST_BUDGET = 5, 4, 7
-WHOLE = 2**63 - 1  # no budget
+WHOLE = 2**31 - 1  # no budget: the largest row number; above it the optimizer drops the numbering, and whole records move instead of slim rows
 DOC = "document_id"
 _RULES = "document-rules/1.0"
 
@@ -70,7 +70,7 @@ def _rules(spark: SparkSession, d: str) -> list[DataFrame]:
     m = detectors.measurement_contexts(claims(spark, d, "measurements"), [DOC, "block_idx", "page", "bbox"])
     m = detectors.condition_conflicts(m, DOC, ["block_idx", "page", "bbox"])
     t = detectors.threshold_claims(claims(spark, d, "thresholds"), DOC, ["block_idx"], budget=WHOLE).where("consistent = false")
-    a = detectors.average_claims(claims(spark, d, "averages"), DOC, ["block_idx"], budget=WHOLE, lists=WHOLE).where("consistent = false")
+    a = detectors.average_claims(claims(spark, d, "averages"), DOC, ["block_idx"], budget=WHOLE, lists=2**63 - 1).where("consistent = false")
     rules = E.method("document-rules")
     return [
         E.build(detectors.cross_condition(subjects), seq=1, code="cross_condition_subject_mismatch", category="evidence_limitation", severity="medium", confidence=0.94, subject=at, subject_excerpt=T.excerpt_around(F.col("text"), F.col("marker")), explanation="Results of different subjects stand side by side.", method=rules),
